@@ -24,56 +24,67 @@ from pyspark.sql import Window as W
 
 from lectern.llm import shared
 
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-#: How a text's UTF-8 bytes are cut. "byte": one space may lead a chunk, runs of white space stand alone but for
-#: their last character, as the byte-level pre-tokenizer has it. "word": white space only parts the chunks.
+ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: How a text's UTF-8 bytes are cut. "byte": one space may lead a chunk, runs of white space stand alone but for their
+#: last character, as the byte-level pre-tokenizer has it. "word": white space only parts the chunks, and A-Z are
+#: lowered first, as that tokenizer does. In both, a run of letters and digits whose last is ASCII ends a chunk.
 CHUNKS = {
-    "byte": re.compile(rb" ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]").findall,
-    "word": bytes.split,
+    "byte": re.compile(rb" ?[0-9A-Za-z\x80-\xff]*[0-9A-Za-z](?![0-9A-Za-z\x80-\xff])| ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]").findall,
+    "word": re.compile(rb"[0-9A-Za-z\x80-\xff]*[0-9A-Za-z](?![0-9A-Za-z\x80-\xff])|[^\t-\r ]+").findall,
 }
 NULL_ID = -(1 << 63)
+#: The printable stand-ins of the 256 bytes in byte-level vocabularies: printable Latin-1 stands for itself, the other
+#: bytes in order for U+0100 and up.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LETTERS = {b: b if b in _PRINTABLE else 0x100 + i for i, b in enumerate([*_PRINTABLE, *sorted({*range(256)} - {*_PRINTABLE})], -len(_PRINTABLE))}
 
 
-class PieceEncoder:
-    """Encodes texts to little-endian unsigned ids; chunks seen before come from a two-generation cache."""
+class PieceEncoder(dict):
+    """Encodes texts to little-endian unsigned ids. The dict holds the ids of chunks seen before, in two generations:
+    once the young one is full it becomes the old one, and what is then used again comes back."""
 
-    def __init__(self, path: str, style: str, keep: int = 150_000):
+    def __init__(self, path: str, style: str, keep: int = 300_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cut, self.keep = CHUNKS[style], keep
+        self.model = self.tokenizer.model
+        self.style, self.cut, self.keep = style, CHUNKS[style], keep
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            text = chunk.decode()
+            if self.style == "word":
+                text = text.lower()
+            letters = text[1:] if text[0] == " " else text
+            if letters.isalpha() and max(letters) < "\u0250":  # one piece, in normal form: the model's part alone
+                stand_ins = text.encode().decode("latin-1").translate(BYTE_LETTERS)
+                ids = np.array([t.id for t in self.model.tokenize(stand_ins)], self.dtype).tobytes()
+            else:
+                ids = self.whole(chunk.decode())
+        self[chunk] = ids
+        return ids
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as bytes of self.dtype."""
-        if len(self.young) > self.keep:
-            self.old, self.young = self.young, {}
-        young, cut = self.young, self.cut
-        chunks = [None if t and ODD_SPACE.search(t) else cut((t or "").encode()) for t in texts]
-        wanted = {c for cs in chunks if cs for c in cs}
-        wanted.difference_update(young)
-        new = []
-        for c in wanted:
-            if (ids := self.old.get(c)) is None:
-                new.append(c)
-            else:
-                young[c] = ids
-        if new:
-            dtype = self.dtype
-            found = self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
-            for c, e in zip(new, found):
-                young[c] = np.array(e.ids, dtype).tobytes()
-        get = young.__getitem__
-        return [self.whole(t) if cs is None else b"".join(map(get, cs)) for t, cs in zip(texts, chunks)]
+        cut, get, lower, out = self.cut, self.__getitem__, self.style == "word", []
+        for t in texts:
+            if len(self) > self.keep:
+                self.old = dict(self)
+                self.clear()
+            raw = (t or "").encode()
+            out.append(self.whole(t) if t and ODD_SPACE.search(t) else b"".join(map(get, cut(raw.lower() if lower else raw))))
+        return out
 
 
 _encoders: dict[tuple[str, str], PieceEncoder] = {}
