@@ -154,10 +154,10 @@ MARGIN = 0.05
 
 
 class Flat:
-    """Rows of one label, in flat files of CHUNK rows each, mapped where the store is a mounted file system."""
+    """Rows of one label, in flat files of `chunk` rows each, mapped where the store is a mounted file system."""
 
-    def __init__(self, files: list[str], kind: str, width: int):
-        self.parts = []
+    def __init__(self, files: list[str], kind: str, width: int, chunk: int):
+        self.parts, self.chunk = [], chunk
         for file in files:
             fs, path = shared.open_fs(file)
             if fs.type_name == "local":
@@ -175,12 +175,12 @@ class Flat:
             return self.parts[0][ids]
         ids = np.asarray(ids)
         if ids.ndim == 0:
-            return self.parts[int(ids) // CHUNK][int(ids) % CHUNK]
+            return self.parts[int(ids) // self.chunk][int(ids) % self.chunk]
         flat = ids.ravel()
         out = np.empty((len(flat), *self.parts[0].shape[1:]), self.parts[0].dtype)
-        for c in np.unique(flat // CHUNK):
-            at = flat // CHUNK == c
-            out[at] = self.parts[c][flat[at] % CHUNK]
+        for c in np.unique(flat // self.chunk):
+            at = flat // self.chunk == c
+            out[at] = self.parts[c][flat[at] % self.chunk]
         return out.reshape(*ids.shape, *out.shape[1:])
 
 
@@ -313,7 +313,7 @@ def build_index(rows: DataFrame) -> tuple[DataFrame, dict]:
         return pa.table({"label": table.column("label").slice(0, 1), "dim": table.column("dim").slice(0, 1), "chunk": table.column("chunk").slice(0, 1), "name": pa.array([f"{root}/{name}"])})
 
     names = shared.stored(whole.groupBy("label", "dim", "chunk").applyInArrow(write, "label string, dim int, chunk long, name string"), "files")
-    index: dict = {key: {"n": n, "width": width, "files": [], "medoids": []} for key, n in counts.items()}
+    index: dict = {key: {"n": n, "width": width, "chunk": CHUNK, "files": [], "medoids": []} for key, n in counts.items()}
     for r in sorted(names.collect(), key=lambda r: r["chunk"]):  # a row for each chunk
         index[r["label"], r["dim"]]["files"].append(r["name"])
     for r in sizes.collect():  # a row for each cluster
@@ -335,7 +335,7 @@ def link(nodes: DataFrame, index: dict, least: float = LEAST_COSINE) -> DataFram
                 if key not in opened:
                     opened.clear()
                     f = held.value[key]["files"]
-                    opened[key] = [Flat([f"{x}.{end}" for x in f], kind, w) for end, kind, w in (("raw", "<f4", key[1]), ("unit", "<f4", key[1]), ("near", "<i4", held.value[key]["width"]), ("rep", "<i8", 0), ("copies", "<i8", 0))]
+                    opened[key] = [Flat([f"{x}.{end}" for x in f], kind, w, held.value[key]["chunk"]) for end, kind, w in (("raw", "<f4", key[1]), ("unit", "<f4", key[1]), ("near", "<i4", held.value[key]["width"]), ("rep", "<i8", 0), ("copies", "<i8", 0))]
                 raw, x, table, rep, copies = opened[key]
                 medoids = np.unique(np.array(held.value[key]["medoids"], np.int64))
                 mid = x[medoids]
