@@ -19,10 +19,8 @@ def json_table(spark: SparkSession, path: str, schema: str, multiline: bool = Tr
     """A JSON file of records; what cannot be read is an empty table, never an error."""
     from pyspark.errors import AnalysisException
 
-    kept = f"{schema}, __bad string"
     try:
-        df = spark.read.schema(kept).option("columnNameOfCorruptRecord", "__bad").option("mode", "PERMISSIVE").json(path, multiLine=multiline)
-        return df.where("__bad IS NULL").drop("__bad")
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path, multiLine=multiline)
     except AnalysisException:
         return spark.createDataFrame([], schema)
 

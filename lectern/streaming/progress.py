@@ -1,6 +1,8 @@
 """Structured Streaming: recorded positions, latest per item, queue states, late rows, degradation, ends.
 
-State is kept per key and holds a few numbers; idle keys time out, so state does not grow with the stream."""
+State is kept per key and holds a few numbers; idle keys time out, so state does not grow with the stream. Such a query
+runs batches without data to see to timeouts; for a run that ends (availableNow), set
+spark.sql.streaming.noDataMicroBatches.enabled to false."""
 
 from __future__ import annotations
 
