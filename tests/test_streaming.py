@@ -1,6 +1,7 @@
 """Streams over files give what the batch operators give."""
 
 import json
+import os
 
 import pytest
 
@@ -25,6 +26,7 @@ def feed(spark, tmp_path):
         d.mkdir()
         for i, rows in enumerate(parts):
             (d / f"{i}.json").write_text("\n".join(json.dumps(r) for r in rows))
+            os.utime(d / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))  # files are read by age
         return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(d))
 
     return make
