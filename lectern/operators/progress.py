@@ -51,9 +51,13 @@ def newest(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> Dat
 
 def without_oldest(rows: DataFrame, order: list[str], most: int) -> DataFrame:
     """If there are more than `most` rows, all but the first by order: a map that drops one entry when it overflows."""
-    total = rows.agg(F.count("*").alias("__total"))
-    first = rows.orderBy(*order).limit(1).select(F.struct(*rows.columns).alias("__first"))
-    return rows.crossJoin(F.broadcast(total.crossJoin(first))).where((F.col("__total") <= most) | (F.struct(*rows.columns) != F.col("__first"))).select(*rows.columns)  # one row on the right
+    if rows.count() <= most:
+        return rows
+    first = rows.orderBy(*order).select(*order).limit(1).first()
+    same = F.lit(True)
+    for c in order:
+        same &= F.col(c).eqNullSafe(F.lit(first[c]))
+    return rows.where(~same)
 
 
 def evicted(items: DataFrame, size: str, age: str, tie: list[str], most: int, extra: str | None = None, buckets: int = 1024) -> DataFrame:
@@ -62,8 +66,9 @@ def evicted(items: DataFrame, size: str, age: str, tie: list[str], most: int, ex
 
     Ages, numbers or times, fall into equal buckets; sums of buckets give each its base, so no task sees all rows."""
     number = F.col(age).cast("timestamp").cast("double") if dict(items.dtypes)[age].startswith("timestamp") else F.col(age).cast("double")
-    span = items.select(number.alias("__n")).agg(F.min("__n").alias("__lo"), F.max("__n").alias("__hi"))  # one row
-    dealt = items.withColumn("__n", number).crossJoin(F.broadcast(span)).withColumn("__b", F.coalesce(F.floor((F.col("__n") - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1e-9) * buckets), F.lit(-1)))
+    lo, hi = items.agg(F.min(number), F.max(number)).first()
+    bucket = F.floor((F.col("__n") - F.lit(lo or 0.0)) / F.lit((hi or 0.0) - (lo or 0.0) + 1e-9) * buckets)
+    dealt = items.withColumn("__n", number).withColumn("__b", F.coalesce(bucket, F.lit(-1)))
     own = F.coalesce(size, F.lit(0)) if isinstance(size, str) else size
     sums = dealt.groupBy("__b").agg(F.sum(own).alias("__sum"), F.sum(own + (F.coalesce(extra, F.lit(0)) if extra else F.lit(0))).alias("__all"))
     before = W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)  # a row for each bucket

@@ -28,10 +28,9 @@ SQL_JOURNAL = "j AS (SELECT user_id AS item_id, event_id AS seq, epoch(date_trun
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
-    first = e.agg(F.min("event_type").alias("__first"))  # one row
-    j = e.crossJoin(F.broadcast(first))
+    first = e.agg(F.min("event_type")).first()[0]
     ts = F.unix_timestamp(F.date_trunc("minute", F.col("ts").cast("timestamp")))
-    return j.select(F.col("user_id").alias("item_id"), F.col("event_id").alias("seq"), ts.alias("ts"), F.col("value").alias("position"), (F.col("event_type") == F.col("__first")).alias("synced"))
+    return e.select(F.col("user_id").alias("item_id"), F.col("event_id").alias("seq"), ts.alias("ts"), F.col("value").alias("position"), (F.col("event_type") == F.lit(first)).alias("synced"))
 
 
 # Events read as synthesis samples of a strategy.
@@ -220,10 +219,10 @@ SELECT p.event_id, (SELECT arg_max(c.event_id, (c.ts, c.event_id)) FROM c WHERE
 def event_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each event of the last type, the user's latest event of the first type."""
     e = read(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
-    ends = e.agg(F.min("event_type").alias("lo"), F.max("event_type").alias("hi"))  # one row
-    e = e.crossJoin(F.broadcast(ends)).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
-    right = e.where("event_type = lo").select("user_id", F.col("event_id").alias("latest"), "t")
-    return lookups.asof(e.where("event_type = hi").select("user_id", "event_id", "t"), right, ["user_id"], "t", "t", ["latest"], ["latest"], width=86_400e6).select("event_id", "latest")
+    lo, hi = e.agg(F.min("event_type"), F.max("event_type")).first()
+    e = e.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    right = e.where(F.col("event_type") == lo).select("user_id", F.col("event_id").alias("latest"), "t")
+    return lookups.asof(e.where(F.col("event_type") == hi).select("user_id", "event_id", "t"), right, ["user_id"], "t", "t", ["latest"], ["latest"], width=86_400e6).select("event_id", "latest")
 
 
 @query("SELECT event_type, count(*) FILTER (WHERE user_id % 4 = 0) AS queued, count(*) FILTER (WHERE user_id % 4 = 1) AS pending, count(*) FILTER (WHERE user_id % 4 = 2) AS ready, count(*) FILTER (WHERE user_id % 4 = 9) AS failed FROM events GROUP BY event_type")
