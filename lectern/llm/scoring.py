@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 from lectern.llm import shared
 
 HELD_OUT = 1
-VOCAB, TAILS, HOT, DIM, NOISE = 1000, 256, 200_000, 24, 48
+VOCAB, TAILS, HOT, DIM, NOISE = 1000, 256, 100_000, 24, 48
 #: Words longer than this many bytes are never in the broadcast table.
 LONGEST_HOT = 64
 PILOT_DOCS = 2000
 #: Distinct words a task counts before it hands them on, and tokens it trains on at a time.
-COUNT_AT_ONCE, TRAIN_AT_ONCE = 200_000, 1 << 21
+COUNT_AT_ONCE, TRAIN_AT_ONCE = 100_000, 1 << 20
 END = VOCAB + TAILS
 CLASSES = END + 1
 
@@ -138,9 +138,14 @@ def train_nce(model: dict, trigrams: np.ndarray, weights: np.ndarray, noise: np.
 def trigrams_of(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes of (before last, last, class) over texts, and their counts."""
     pads = np.array([END, END], np.int64)
-    rows = [np.concatenate([pads, c, pads[:1]]) for c in classes]
-    codes = np.concatenate([(x[:-2] * CLASSES + x[1:-1]) * CLASSES + x[2:] for x in rows])
-    return np.unique(codes, return_counts=True)
+    codes, at = np.empty(sum(len(c) + 1 for c in classes), np.int64), 0
+    for c in classes:
+        x = np.concatenate([pads, c, pads[:1]])
+        codes[at : at + len(c) + 1] = (x[:-2] * CLASSES + x[1:-1]) * CLASSES + x[2:]
+        at += len(c) + 1
+    codes.sort()
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[first], np.diff(np.append(first, len(codes)))
 
 
 def blob(model: dict) -> bytes:
@@ -173,7 +178,7 @@ def train_model(texts: DataFrame, lexicon, noise: np.ndarray) -> dict[str, np.nd
 
             for b in batches:
                 for t in b.column("text").to_pylist():
-                    held.append(lex.classes(words_of(t))[1].astype(np.int64))
+                    held.append(lex.classes(words_of(t))[1])
                     n += len(held[-1]) + 1
                 if n >= TRAIN_AT_ONCE:
                     step()
