@@ -104,7 +104,7 @@ def start_model(noise: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
     return {"q": rand(CLASSES, DIM), "r": rand(CLASSES, DIM), "c": np.ones((2, DIM), np.float32), "b": np.log(noise).astype(np.float32)}
 
 
-def train_nce(model: dict, trigrams: np.ndarray, weights: np.ndarray, noise: np.ndarray, rng, power: dict, batch: int = 8192, rate: float = 0.15) -> None:
+def train_nce(model: dict, trigrams: np.ndarray, weights: np.ndarray, noise: np.ndarray, rng, power: dict, batch: int = 8192, rate: float = 0.04) -> None:
     """One pass over distinct trigrams (code of u, v, w) and their counts, in place. Each batch shares its noise
     classes; steps are Adagrad's, whose sums of squares are in `power`."""
     order = rng.permutation(len(trigrams))
