@@ -49,24 +49,24 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def links(classes: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(a, b): representatives of classes (fp, rep) whose fingerprints are at most two bits apart."""
-    near = f"bit_count(fa ^ fb) <= {BITS_APART}"
+    """(a, b): fingerprints of classes (fp), all different, that are at most two bits apart. a < b is not promised."""
+    near = f"bit_count(a ^ b) <= {BITS_APART}"
     half = "shiftrightunsigned(fp, 32 * (i div 32)) & 4294967295L"
-    variants = classes.select("fp", "rep", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).select(
-        F.expr(f"shiftleft(cast(i as bigint), 32) | (({half}) & ~shiftleft(1L, i % 32))").alias("key"), "fp", "rep"
+    spread = classes.select("fp").repartition("fp")  # each row becomes 64: as many tasks as there are partitions
+    variants = spread.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).select(
+        F.expr(f"shiftleft(cast(i as bigint), 32) | (({half}) & ~shiftleft(1L, i % 32))").alias("key"), "fp"
     )
-    keys = variants.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("fp", "rep")).alias("x"), F.max(F.struct("fp", "rep")).alias("y"))
+    keys = variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
     keys = shared.stored(keys.where("n > 1"), "keys")
-    pairs = keys.where("n = 2").selectExpr("x.fp AS fa", "y.fp AS fb", "x.rep AS a", "y.rep AS b").where(near).select("a", "b")
-    out = pairs
+    out = keys.where("n = 2").where(near).select("a", "b")
     if not keys.where("n > 2").isEmpty():
         members = shared.stored(variants.join(keys.where("n > 2").select("key", "n"), "key"), "members")
         some = members.where(F.col("n") <= crowd)
-        left, right = some.select("key", F.col("fp").alias("fa"), F.col("rep").alias("a")), some.select("key", F.col("fp").alias("fb"), F.col("rep").alias("b"))
-        out = out.unionByName(left.join(right, "key").where(f"fa < fb AND {near}").select("a", "b"))
-        crowded = members.where(F.col("n") > crowd).select("fp", "rep").distinct()
-        around = crowded.select("rep", F.explode(F.expr("transform(sequence(0, 64), i -> CASE WHEN i = 64 THEN fp ELSE fp ^ shiftleft(1L, i) END)")).alias("value"))
-        met = around.groupBy("value").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("bs")).where(F.size("bs") > 1)  # 65 at most
+        left, right = some.select("key", F.col("fp").alias("a")), some.select("key", F.col("fp").alias("b"))
+        out = out.unionByName(left.join(right, "key").where(f"a < b AND {near}").select("a", "b"))
+        crowded = members.where(F.col("n") > crowd).select("fp").distinct()
+        around = crowded.select("fp", F.explode(F.expr("transform(sequence(0, 64), i -> CASE WHEN i = 64 THEN fp ELSE fp ^ shiftleft(1L, i) END)")).alias("value"))
+        met = around.groupBy("value").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("bs")).where(F.size("bs") > 1)  # 65 at most
         out = out.unionByName(met.select("a", F.explode("bs").alias("b")).where("a <> b"))
     return out
 
@@ -77,13 +77,14 @@ def grouped(docs: DataFrame, words: int = WORDS) -> DataFrame:
     numbered = found.where(F.col("doc_id").isNotNull())
     classes = shared.stored(numbered.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     edges = links(classes)
-    spread = numbered.groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
-    if not spread.isEmpty():  # rows with equal doc_id and different texts
-        by_id = numbered.join(spread.select("doc_id"), "doc_id", "left_semi").distinct().join(classes, "fp")
-        edges = edges.unionByName(by_id.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))).where("a <> b")
+    twice = numbered.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b")
+    if not twice.isEmpty():  # rows with equal doc_id and different texts
+        edges = edges.unionByName(numbered.join(twice.select("doc_id", "a"), "doc_id").where("fp <> a").select("a", F.col("fp").alias("b")))
     roots = components(edges)
-    classes = classes.join(roots, classes["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return found.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = rooted.join(least, "root").select("fp", "component_id")
+    return found.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
