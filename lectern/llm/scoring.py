@@ -70,6 +70,21 @@ def count_words(texts: DataFrame) -> DataFrame:
     return shared.map_texts(texts, run, "word binary, tail int, c long").groupBy("word", "tail").agg(F.sum("c").alias("c"))
 
 
+def frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """At most HOT words, the most frequent first. Steps of the logarithm of the count, some thousand at most, tell
+    how far down the table may go; only the words above that line leave the executors."""
+    step = F.floor(F.log2("c") * 64).alias("step")
+    words = counts.where(F.length("word") <= LONGEST_HOT).select("word", "c", step)
+    least, total = None, 0
+    for r in sorted(words.groupBy("step").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
+        if total + r["n"] > HOT:
+            break
+        least, total = r["step"], total + r["n"]
+    if least is None:
+        return []
+    return sorted(((bytes(r["word"]), r["c"]) for r in words.where(F.col("step") >= least).collect()), key=lambda x: (-x[1], x[0]))
+
+
 class Lexicon:
     """The frequent words: their class, and the log10 of their count plus one half."""
 
@@ -227,8 +242,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", (shared.id_hash(F.col("doc_id")) % 5 == HELD_OUT).alias("held_out"), "text")
     teach = rows.where("NOT held_out").select("text")
     counts = shared.stored(count_words(teach), "counts")
-    hot = counts.where(F.length("word") <= LONGEST_HOT).orderBy(F.desc("c"), "word").limit(HOT).select("word", "c").collect()  # at most HOT rows
-    hot = [(bytes(r["word"]), r["c"]) for r in hot]
+    hot = frequent(counts)
     lexicon = spark.sparkContext.broadcast(Lexicon(hot))
     n_docs = teach.count()
     tails = np.zeros((CLASSES, 2))  # of each shared class, tokens and distinct words in training
