@@ -147,7 +147,7 @@ def test_messages(spark):
     assert [f(n) for n in (1, 2, 5, 11, 21, 22, 112)] == [0, 1, 2, 2, 0, 1, 2]
     with pytest.raises(ValueError):
         catalogues.plural_index("__import__('os')")
-    s = catalogues.source_messages(spark.createDataFrame([("m.lua", '_("Go") x _("Stop")\n_("Go")')], "path string, body string"))
+    s = catalogues.source_messages(spark.createDataFrame([("m.src", '_("Go") x _("Stop")\n_("Go")')], "path string, body string"))
     assert {r["msgid"]: [p["line"] for p in r["places"]] for r in s.collect()} == {"Go": [1, 2], "Stop": [1]}
 
 
