@@ -52,7 +52,8 @@ def links(classes: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(a, b): fingerprints of classes (fp), all different, that are at most two bits apart. a < b is not promised."""
     near = f"bit_count(a ^ b) <= {BITS_APART}"
     half = "shiftrightunsigned(fp, 32 * (i div 32)) & 4294967295L"
-    spread = classes.select("fp").repartition("fp")  # each row becomes 64: as many tasks as there are partitions
+    # each row becomes 64, so the few bytes of the classes are dealt to all tasks; a number keeps them apart
+    spread = classes.select("fp").repartition(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     variants = spread.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).select(
         F.expr(f"shiftleft(cast(i as bigint), 32) | (({half}) & ~shiftleft(1L, i % 32))").alias("key"), "fp"
     )
