@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import shared
+from lectern.llm import shared, shingles
 from lectern.llm.components import components
 
 WORDS, BITS_APART, CROWD = 3, 2, 64
@@ -72,12 +72,13 @@ def links(classes: DataFrame, crowd: int = CROWD) -> DataFrame:
     return out
 
 
-def grouped(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, fp, component_id for documents (doc_id, text)."""
-    found = shared.stored(fingerprints(docs, words), "fingerprints")
+def grouped(docs: DataFrame, words: int = WORDS, alike: tuple[int, int] | None = None) -> DataFrame:
+    """doc_id, fp, component_id for documents (doc_id, text). With alike, a fraction such as (4, 5), documents link by
+    the Jaccard similarity of their word shingles instead, and fp tells the sets of shingles apart."""
+    found = shared.stored(shingles.keyed(docs, words, alike) if alike else fingerprints(docs, words), "fingerprints")
     numbered = found.where(F.col("doc_id").isNotNull())
     classes = shared.stored(numbered.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    edges = links(classes)
+    edges = shingles.links(docs, found, words, alike) if alike else links(classes)
     twice = numbered.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b")
     if not twice.isEmpty():  # rows with equal doc_id and different texts
         edges = edges.unionByName(numbered.join(twice.select("doc_id", "a"), "doc_id").where("fp <> a").select("a", F.col("fp").alias("b")))
@@ -88,11 +89,11 @@ def grouped(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return found.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def drop_near_copies(docs: DataFrame, words: int = WORDS, alike: tuple[int, int] | None = None) -> DataFrame:
     """Keep the document with the smallest doc_id of each group; all columns pass through.
 
     Rows with a null doc_id stay. Of repeated rows with one doc_id one stays, the first by text."""
-    groups = shared.stored(grouped(docs, words), "groups")
+    groups = shared.stored(grouped(docs, words, alike), "groups")
     gone = groups.where("doc_id IS NOT NULL AND component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
     twice = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice"))
