@@ -7,6 +7,8 @@ In each shard a graph is built by batches of greedy searches and robust pruning,
 lists are then united over its shards. Vectors and lists are written as flat files in the shared folder, some for each
 label. Search tasks map them: every node searches from its label's medoids and centroids' nodes with a beam; whatever
 it finds in range is expanded until nothing new is in range. Everything in range is verified in double precision.
+Links that one end found and the other did not would make counts differ, so each node is at last counted against all
+nodes of its component.
 
 A task links what its own batch of queries finds and hands on a spanning forest and counts, so a group of thousands of
 near copies is never spelled out as pairs. `audit` measures recall against brute force on every 20th vector.
@@ -33,9 +35,11 @@ LEAST_COSINE = 0.98
 DEGREE, BEAM, ALPHA = 24, 48, 1.2
 SHARD_ROWS, OVERLAP, CENTROID_SAMPLE = 2000, 2, 20_000
 QUERY_BATCH = 256
-#: A node is put into the lists of its RETURN nearest neighbours whatever these prune, so that it can be reached; no
-#: list is longer than WIDEST.
-RETURN, WIDEST = 4, 192
+#: A node is put into the lists of its RETURN nearest neighbours whatever these prune, so that it can be reached. Lists
+#: are kept whole and are offered to the beams STRIDE entries at a time.
+RETURN, STRIDE = 4, 192
+#: Queries compared at once, in how many pieces at most a component's members are compared, and members at once.
+COMPARED, PIECES, AGAINST = 1024, 64, 1 << 13
 
 
 def prune(x: np.ndarray, node: int, cand: np.ndarray, alpha: float = ALPHA, degree: int = DEGREE) -> np.ndarray:
@@ -89,7 +93,7 @@ def build_graph(x: np.ndarray, seed: int = 0) -> list[np.ndarray]:
 
 
 def beam_search(x: np.ndarray, table: np.ndarray, start: np.ndarray, queries: np.ndarray, beam: int = BEAM, in_range: float | None = None) -> tuple[np.ndarray, list[np.ndarray] | None]:
-    """Greedy search of many queries at once. table: adjacency padded with -1. Returns each query's beam, nearest first,
+    """Greedy search of many queries at once. table: adjacency padded with -1, or Lists. Returns each query's beam, nearest first,
     padded with -1; with in_range also all nodes met of at least that similarity, after expanding each that is near it."""
     nq, n = len(queries), len(x)
     seen = np.zeros((nq, n), bool)
@@ -126,7 +130,9 @@ def beam_search(x: np.ndarray, table: np.ndarray, start: np.ndarray, queries: np
         best = open_[rows].argmax(1)
         node = ids[rows, best]
         open_[rows, best] = False
-        offer(table[node], rows)
+        lists = table[node]
+        for at in range(0, lists.shape[1], STRIDE):
+            offer(lists[:, at : at + STRIDE], rows)
     if in_range is None:
         return ids, None
     every = []
@@ -134,7 +140,7 @@ def beam_search(x: np.ndarray, table: np.ndarray, start: np.ndarray, queries: np
         todo = np.array(hits[q], np.int64)
         met = [todo]
         while len(todo):
-            new = np.unique(table[todo])
+            new = np.unique(table.joined(todo) if isinstance(table, Lists) else table[todo])
             new = new[new >= 0]
             new = new[~seen[q, new]]
             seen[q, new] = True
@@ -184,6 +190,30 @@ class Flat:
         return out.reshape(*ids.shape, *out.shape[1:])
 
 
+class Lists:
+    """Adjacency lists of one label, of any length: Flat offsets, one more than nodes in each file, and ids."""
+
+    def __init__(self, starts: list[str], ids: list[str], chunk: int):
+        self.starts = [Flat([f], "<i8", 0, chunk).parts[0] for f in starts]
+        self.ids = [Flat([f], "<i4", 0, chunk).parts[0] for f in ids]
+        self.chunk = chunk
+
+    def one(self, node: int) -> np.ndarray:
+        c, i = divmod(int(node), self.chunk)
+        return self.ids[c][self.starts[c][i] : self.starts[c][i + 1]]
+
+    def joined(self, nodes: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.one(i) for i in nodes]).astype(np.int64)
+
+    def __getitem__(self, nodes: np.ndarray) -> np.ndarray:
+        """Lists padded with -1 to the longest of them."""
+        lists = [self.one(i) for i in nodes]
+        out = np.full((len(lists), max(map(len, lists))), -1, np.int64)
+        for row, a in zip(out, lists):
+            row[: len(a)] = a
+        return out
+
+
 def usable(rows: DataFrame) -> DataFrame:
     """(vec_id, label, dim, embedding, k1, k2) of the vectors that can link; k1 and k2 tell vectors apart."""
     finite = F.expr("size(embedding) > 0 AND forall(embedding, e -> e IS NOT NULL AND NOT isnan(e) AND abs(e) < double('infinity')) AND exists(embedding, e -> e <> 0)")
@@ -293,27 +323,25 @@ def build_index(rows: DataFrame) -> tuple[DataFrame, dict]:
     whole = nodes.join(united, ["label", "dim", "node"], "left").withColumn("chunk", F.expr(f"node div {CHUNK}")).select(
         "label", "dim", "chunk", "node", "rep", "copies", F.col("embedding").cast("array<float>").alias("embedding"), "near"
     )
-    width = min(WIDEST, max(1, united.agg(F.max(F.size("near"))).first()[0] or 1))
 
     def write(table: pa.Table) -> pa.Table:
         dim = table.column("dim")[0].as_py()
         order = np.argsort(np.asarray(table.column("node")), kind="stable")
         v = matrix(table.column("embedding"), dim)[order]
-        near = np.full((len(order), width), -1, np.int32)
         lists_ = table.column("near").to_pylist()
-        for i, o in enumerate(order):
-            a = (lists_[o] or ())[:width]
-            near[i, : len(a)] = a
+        lists_ = [lists_[o] or () for o in order]
+        starts = np.cumsum([0, *map(len, lists_)])
+        near = np.array([*(j for a in lists_ for j in a), -1], np.int32)  # the last is no entry: an empty file cannot be mapped
         name = uuid.uuid4().hex
         fs, base = shared.open_fs(root)
         fs.create_dir(base, recursive=True)
-        for end, a in (("raw", v.astype("<f4")), ("unit", unit(v).astype("<f4")), ("near", near.astype("<i4")), ("rep", np.asarray(table.column("rep"))[order].astype("<i8")), ("copies", np.asarray(table.column("copies"))[order].astype("<i8"))):
+        for end, a in (("raw", v.astype("<f4")), ("unit", unit(v).astype("<f4")), ("starts", starts.astype("<i8")), ("near", near.astype("<i4")), ("rep", np.asarray(table.column("rep"))[order].astype("<i8")), ("copies", np.asarray(table.column("copies"))[order].astype("<i8"))):
             with fs.open_output_stream(f"{base}/{name}.{end}") as f:
                 f.write(a.tobytes())
         return pa.table({"label": table.column("label").slice(0, 1), "dim": table.column("dim").slice(0, 1), "chunk": table.column("chunk").slice(0, 1), "name": pa.array([f"{root}/{name}"])})
 
     names = shared.stored(whole.groupBy("label", "dim", "chunk").applyInArrow(write, "label string, dim int, chunk long, name string"), "files")
-    index: dict = {key: {"n": n, "width": width, "chunk": CHUNK, "files": [], "medoids": []} for key, n in counts.items()}
+    index: dict = {key: {"n": n, "chunk": CHUNK, "files": [], "medoids": []} for key, n in counts.items()}
     for r in sorted(names.collect(), key=lambda r: r["chunk"]):  # a row for each chunk
         index[r["label"], r["dim"]]["files"].append(r["name"])
     for r in sizes.collect():  # a row for each cluster
@@ -335,8 +363,9 @@ def link(nodes: DataFrame, index: dict, least: float = LEAST_COSINE) -> DataFram
                 if key not in opened:
                     opened.clear()
                     f = held.value[key]["files"]
-                    opened[key] = [Flat([f"{x}.{end}" for x in f], kind, w, held.value[key]["chunk"]) for end, kind, w in (("raw", "<f4", key[1]), ("unit", "<f4", key[1]), ("near", "<i4", held.value[key]["width"]), ("rep", "<i8", 0), ("copies", "<i8", 0))]
-                raw, x, table, rep, copies = opened[key]
+                    opened[key] = [Flat([f"{x}.{end}" for x in f], kind, w, held.value[key]["chunk"]) for end, kind, w in (("raw", "<f4", key[1]), ("unit", "<f4", key[1]), ("rep", "<i8", 0), ("copies", "<i8", 0))]
+                    opened[key].append(Lists([f"{x}.starts" for x in f], [f"{x}.near" for x in f], held.value[key]["chunk"]))
+                raw, x, rep, copies, table = opened[key]
                 medoids = np.unique(np.array(held.value[key]["medoids"], np.int64))
                 mid = x[medoids]
                 batch = int(max(1, min(QUERY_BATCH, VISITED // max(1, len(x)))))
@@ -375,6 +404,39 @@ def link(nodes: DataFrame, index: dict, least: float = LEAST_COSINE) -> DataFram
     return jobs.mapInArrow(run, "label string, dim int, node long, n_links long, rep long, partners array<long>")
 
 
+def recount(nodes: DataFrame, index: dict, least: float = LEAST_COSINE) -> DataFrame:
+    """(label, dim, node, n_links) of nodes (label, dim, node, component_id) of components with two nodes or more: each
+    node is compared with all of its component, so that counts are whole and symmetric. No pair becomes a row."""
+    groups = nodes.groupBy("label", "dim", "component_id").agg(F.sort_array(F.collect_list("node")).alias("members")).where(F.size("members") > 1)
+    pieces = F.least(F.lit(PIECES), F.ceil(F.size("members") / COMPARED)).cast("int")
+    work = groups.select("label", "dim", "members", pieces.alias("pieces")).withColumn("piece", F.explode(F.expr("sequence(0, pieces - 1)")))
+    held = nodes.sparkSession.sparkContext.broadcast(index)
+    opened: dict = {}
+
+    def run(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                key, members = (b.column("label")[k].as_py(), b.column("dim")[k].as_py()), np.asarray(b.column("members")[k].values)
+                if key not in opened:
+                    opened.clear()
+                    f = held.value[key]["files"]
+                    opened[key] = [Flat([f"{x}.{end}" for x in f], kind, w, held.value[key]["chunk"]) for end, kind, w in (("raw", "<f4", key[1]), ("copies", "<i8", 0))]
+                raw, copies = opened[key]
+                mine = np.array_split(members, b.column("pieces")[k].as_py())[b.column("piece")[k].as_py()]
+                for lo in range(0, len(mine), COMPARED):
+                    some = mine[lo : lo + COMPARED]
+                    q, n = unit(raw[some]), np.full(len(some), -1, np.int64)  # a node is near itself
+                    for at in range(0, len(members), AGAINST):
+                        block = members[at : at + AGAINST]
+                        sims = q @ unit(raw[block]).T
+                        sims[some[:, None] == block] = 1
+                        n += (sims >= least) @ np.asarray(copies[block])
+                    yield pa.record_batch([pa.array([key[0]] * len(some), pa.string()), pa.array([key[1]] * len(some), pa.int32()), pa.array(some, pa.int64()), pa.array(n, pa.int64())], names=["label", "dim", "node", "n_links"])
+
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return work.repartition(parts).mapInArrow(run, "label string, dim int, node long, n_links long")
+
+
 def near_duplicates(rows: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept for vectors (vec_id, embedding, label)."""
     rows = rows.select("vec_id", "embedding", "label")
@@ -385,6 +447,9 @@ def near_duplicates(rows: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     linked = shared.stored(link(nodes, index, least), "linked")
     roots = components(linked.select(F.col("rep").alias("a"), F.explode("partners").alias("b")))
     linked = linked.join(roots, linked["rep"] == roots["node"], "left").select("label", "dim", linked["node"], "n_links", F.coalesce("root", "rep").alias("component_id"))
+    linked = shared.stored(linked, "rooted")
+    whole = recount(linked, index, least).withColumnRenamed("n_links", "whole")
+    linked = linked.join(whole, ["label", "dim", "node"], "left").withColumn("n_links", F.coalesce("whole", "n_links")).drop("whole")
     classes = nodes.select("label", "dim", "k1", "k2", "node").join(linked, ["label", "dim", "node"]).select("label", "dim", "k1", "k2", "n_links", "component_id")
     able = usable(rows).select("vec_id", "label", "dim", "k1", "k2").join(classes, ["label", "dim", "k1", "k2"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     keys = F.struct("vec_id", F.col("label").cast("string"), F.xxhash64("embedding", F.lit(1)), F.xxhash64("embedding", F.lit(2)))
