@@ -39,6 +39,17 @@ def best_match(selections: DataFrame, entries: DataFrame, book: str = "book") ->
     return j.where(usable).groupBy(book, "sel_id").agg(F.max(F.struct(score.alias("score"), (-F.col("seq")).alias("n"))).alias("b")).select(book, "sel_id", (-F.col("b.n")).alias("seq"), F.when(F.col("b.score") == 1_000_000, None).otherwise(F.col("b.score")).alias("score"))
 
 
+def whole_match(selections: DataFrame, entries: DataFrame, book: str = "book") -> DataFrame:
+    """best_match, for selections of which most equal an entry of their book: these are found by an equality join, since
+    no score is higher, and only the others are scored. Selections with a fragment id are scored."""
+    form = entries.select(book, match_form(F.col("text")).alias("__form"), "seq").where("__form <> ''")
+    first = form.groupBy(book, "__form").agg(F.min("seq").alias("__seq"), F.lit(True).alias("__equal"))
+    formed = selections.withColumn("__form", F.when(F.col("fragment_id").isNull(), match_form(F.col("text"))))
+    tried = formed.join(first, [book, "__form"], "left")
+    equal = tried.where("__equal").groupBy(book, "sel_id").agg(F.min("__seq").alias("seq")).withColumn("score", F.lit(10000))
+    return equal.unionByName(best_match(tried.where("__equal IS NULL").select(*selections.columns), entries, book))
+
+
 def cascade(page: Column, sentence: Column) -> Column:
     """struct<pos, how>: where a sentence stands on a page, 1-based: whole; by its first 40, 20 or 10 characters; by its
     last; by its first 3 or 2 words; by its last. NULL if nowhere."""

@@ -310,6 +310,15 @@ def scored_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.best_match(sel, entries, "doc_id").withColumn("score", F.col("score").cast("long"))
 
 
+@query()
+def scored_match_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole sentence matched with the sentences of its document; scored_match does so for a part of them."""
+    s = sentence_rows(read(spark, sf_dir, "documents")).withColumn("fragment_id", F.lit(None).cast("string"))
+    sel = s.select("doc_id", F.col("idx").alias("sel_id"), "text", "fragment_id")
+    entries = s.select("doc_id", F.col("idx").alias("seq"), "text", "fragment_id")
+    return matching.whole_match(sel, entries, "doc_id").withColumn("score", F.col("score").cast("long"))
+
+
 @query()
 def cascade_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each sentence of the normalized text stands in the text as it was."""
