@@ -1,7 +1,9 @@
 """Connected components of a table of links, by alternating large-star and small-star rounds.
 
 Each round is two grouped minima and two joins; it ends when a round changes nothing. Rounds are written to the shared
-folder, so lineage stays short. Links stay in Spark; the driver sees one count and one checksum for each round."""
+folder, so lineage stays short, and so are the minima: both sides of a join then come plainly from an exchange, which
+lets Spark split the root of a large component. Links stay in Spark; the driver sees one count and one checksum for each
+round."""
 
 from __future__ import annotations
 
@@ -23,9 +25,10 @@ def components(links: DataFrame) -> DataFrame:
     seen = _sum(edges)
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = shared.stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = shared.stored(large, "large")
+        low = shared.stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(low, "a")
         edges = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         edges = shared.stored(edges, "links")

@@ -1,14 +1,14 @@
-"""Exact near copies by word shingles, for the pipeline: documents whose sets of word shingles have a Jaccard
-similarity of `ALIKE` or more are linked.
+"""Near copies by word shingles, beyond the reach of operator 7's two bits: documents whose sets of word shingles have
+a Jaccard similarity of a given fraction or more are linked.
 
-Equal sets are one class. Sets a and b of similarity 0.8 share at least 0.8 of the larger one, so in any order common to
-all sets they share one of the first n - ceil(0.8 n) + 1 shingles of each: these are a class's keys, and no pair in range
-is missed. The order puts shingles that are frequent in a bounded sample last, so that passages many documents share
-are seldom keys; the sample decides only what the join costs, never what it finds.
+Equal sets are one class. Candidates come from two sides. The first is operator 7's method: the 64-bit SimHash of the
+set, deletion variants of its halves, an equality join. At a similarity of 0.8 some ten bits of a SimHash differ, more
+than any cut into selective segments can bridge, so the second side are `BANDS` keys of `ROWS` minimum hashes each: two
+sets of similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS, which is 0.99999 at 0.8. Each class of a key
+is a candidate with one class of that key, chosen by a hash anew for each key: rows stay in proportion to the classes,
+and a group of thousands of near copies never becomes its pairs. Every candidate is verified on the whole sets.
 
-The sets of classes that share a key are written as flat files in the shared folder. Each key's classes are then
-searched breadth first: a class is compared with those of its key that are not linked yet, so a group of thousands of
-near copies is linked without its pairs. A key with k classes of which none are alike costs k * k / 2 comparisons.
+The sets of candidates are written as flat files in the shared folder, which the verifying tasks map.
 
 Null, empty and blank texts are one class, as for operator 7; a text of fewer words than a shingle is one shingle.
 """
@@ -18,19 +18,34 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import shared
 
-#: Least similarity, as a fraction of whole numbers.
-ALIKE = (4, 5)
-#: Documents in the sample that orders the shingles, and from how many of them on a shingle counts as frequent.
-SAMPLE_DOCS, FREQUENT = 4000, 4
-#: Shingles compared at once.
-BLOCK = 1 << 20
-OPEN_FILES = 256
+BANDS, ROWS = 40, 6
+#: Shingles put through the minimum hashes at a time, words whose hashes are kept, files kept open.
+BLOCK, KEEP_WORDS, OPEN_FILES = 1024, 200_000, 256
+_M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+_TURNS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits in which each bit depends on all."""
+    x = (x ^ (x >> np.uint64(33))) * _M1
+    x = (x ^ (x >> np.uint64(33))) * _M2
+    return x ^ (x >> np.uint64(33))
+
+
+class WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_words = WordHashes()
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -38,9 +53,16 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     w = (text or "").encode().lower().split()  # ASCII case and white space only
     if not w:
         return np.zeros(0, "<u8")
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    n = max(1, len(w) - words + 1)
-    return np.unique(np.fromiter((digest(join(w[i : i + words]), 42) for i in range(n)), "<u8", n))
+    if len(_words) > KEEP_WORDS:
+        _words.clear()
+    h = np.fromiter(map(_words.__getitem__, w), "<u8", len(w))
+    size = min(words, len(w))
+    n = len(w) - size + 1
+    x = np.full(n, size, "<u8")
+    for i in range(size):
+        x = (x ^ (x >> np.uint64(32))) * _M1 + h[i : i + n]
+    x = np.sort(mixed(x))
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
 
 
 def signature(s: np.ndarray) -> int:
@@ -48,38 +70,36 @@ def signature(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype("<i8")) if len(s) else 0
 
 
-def frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles frequent in the sample, sorted, and their counts."""
-
-    def run(batches):
-        for b in batches:
-            yield {"h": np.concatenate([np.zeros(0, "<i8"), *(shingle_set(t, words).view("<i8") for t in b.column("text").to_pylist())])}
+def majority(s: np.ndarray) -> int:
+    """Signed 64-bit SimHash of a set: the bits set in over half of its hashes."""
+    votes = np.zeros(64, np.int64)
+    for at in range(0, len(s), 1 << 14):
+        votes += np.unpackbits(s[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * votes > len(s), bitorder="little").view("<i8")[0])
 
-    one_in = max(1, docs.count() // SAMPLE_DOCS)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).select("text")
-    rows = shared.map_texts(sample, run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).collect()
-    h, n = np.array([r["h"] for r in rows], "<i8").view("<u8"), np.array([r["n"] for r in rows], np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
 
+def bands(s: np.ndarray) -> np.ndarray:
+    """The keys of a set, none for the empty one."""
+    if not len(s):
+        return np.zeros(0, "<i8")
+    low = np.full(len(_TURNS), np.iinfo(np.uint64).max)
+    for at in range(0, len(s), BLOCK):
+        np.minimum(low, (s[at : at + BLOCK, None] * _TURNS).min(0), out=low)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in low.reshape(BANDS, ROWS).T:
+        key = mixed(key) + column
+    return mixed(key).view("<i8")
 
-def keyed(docs: DataFrame, words: int, alike: tuple[int, int] = ALIKE) -> DataFrame:
-    """doc_id, fp, keys for documents (doc_id, text): fp tells sets of shingles apart."""
-    common = docs.sparkSession.sparkContext.broadcast(frequent(docs, words))
 
-    def keys(s: np.ndarray) -> list[int]:
-        h, n = common.value
-        if len(h):
-            at = np.minimum(np.searchsorted(h, s), len(h) - 1)
-            s = s[np.argsort(np.where(h[at] == s, n[at], 0), kind="stable")]
-        return s[: len(s) + 1 + -len(s) * alike[0] // alike[1]].view("<i8")
+def keyed(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, fp, bits, keys for documents (doc_id, text): fp tells sets apart, bits is their SimHash."""
 
     def run(batches):
         for b in batches:
             sets = [shingle_set(t, words) for t in b.column("text").to_pylist()]
-            yield {"doc_id": b.column("doc_id"), "fp": [signature(s) for s in sets], "keys": [keys(s) if len(s) else [] for s in sets]}
+            yield {"doc_id": b.column("doc_id"), "fp": [signature(s) for s in sets], "bits": [majority(s) for s in sets], "keys": [bands(s) for s in sets]}
 
-    return shared.map_texts(docs.select("doc_id", "text"), run, "doc_id long, fp long, keys array<long>")
+    return shared.map_texts(docs.select("doc_id", "text"), run, "doc_id long, fp long, bits long, keys array<long>")
 
 
 def written(docs: DataFrame, words: int) -> DataFrame:
@@ -103,72 +123,67 @@ def written(docs: DataFrame, words: int) -> DataFrame:
     return shared.stored(shared.map_texts(docs.select("text"), run, "fp long, file string, at long, n long"), "sets").dropDuplicates(["fp"])
 
 
-def alike_to(s: np.ndarray, others: list[np.ndarray], alike: tuple[int, int]) -> np.ndarray:
-    """Which of the others, none empty, are alike to s."""
-    both = np.concatenate(others)
-    at = np.minimum(np.searchsorted(s, both), len(s) - 1)
-    n = np.array([len(o) for o in others])
-    met = np.add.reduceat((s[at] == both).astype(np.int64), np.cumsum(n) - n)
-    return met * alike[1] >= alike[0] * (len(s) + n - met)
-
-
-def linked(sizes: np.ndarray, load, alike: tuple[int, int]) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the sets 0, 1, ..., of the given sizes; load(i) gives a set."""
-    out, rest, todo = [], np.arange(len(sizes)), []
-    while len(rest) or todo:
-        if not todo:
-            todo, rest = [rest[0]], rest[1:]
-        i = todo.pop()
-        near = rest[(sizes[rest] * alike[1] >= sizes[i] * alike[0]) & (sizes[i] * alike[1] >= sizes[rest] * alike[0])]
-        if not len(near):
-            continue
-        s, met = load(i), []
-        for block in np.split(near, np.flatnonzero(np.diff(np.cumsum(sizes[near]) // BLOCK)) + 1):
-            met.append(block[alike_to(s, [load(j) for j in block], alike)])
-        new = np.concatenate(met)
-        out += [(int(i), int(j)) for j in new]
-        todo += new.tolist()
-        rest = np.setdiff1d(rest, new, assume_unique=True)
-    return out
-
-
-def links(docs: DataFrame, found: DataFrame, words: int, alike: tuple[int, int] = ALIKE) -> DataFrame:
-    """(a, b): classes fp of keyed() that are alike, as forests of the classes of each key."""
-    numbered = found.where("doc_id IS NOT NULL")
-    classes = numbered.groupBy("fp").agg(F.first("keys").alias("keys"))
-    rows = shared.stored(classes, "classes").select("fp", F.explode("keys").alias("key"))
-    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many hashes two sets share."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return 0
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return int((b[at] == a).sum())
+
+
+def candidates(classes: DataFrame, near_bits) -> DataFrame:
+    """(a, b), a < b: pairs of classes fp, of classes (fp, bits, keys), that may be alike."""
+    first = shared.stored(classes.groupBy("bits").agg(F.min("fp").alias("first"), F.count("*").alias("n")), "bits")
+    same = classes.select("bits", "fp").join(first.where("n > 1").drop("n").hint("merge"), "bits").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    near = near_bits(first.select(F.col("bits").alias("fp")))
+    left, right = first.select(F.col("bits").alias("a"), F.col("first").alias("fa")), first.select(F.col("bits").alias("b"), F.col("first").alias("fb"))
+    near = near.join(left, "a").join(right, "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+    rows = classes.select("fp", F.explode("keys").alias("key"))
+    # fp ^ key orders a key's classes by chance, and gives the class back
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.col("fp").bitwiseXOR(F.col("key"))).alias("low"), F.min("fp").alias("a"), F.max("fp").alias("b"))
     counts = shared.stored(counts.where("n > 1"), "keys")
-    pairs = counts.where("n = 2").select(F.array("a", "b").alias("members"))
-    more = rows.join(counts.where("n > 2").select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("members"))
-    groups = shared.stored(pairs.unionByName(more.select("members")).distinct().select(F.monotonically_increasing_id().alias("g"), "members"), "groups")
-    members = groups.select("g", F.explode("members").alias("fp"))
-    reps = numbered.join(members.select("fp").distinct(), "fp").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    places = written(docs.join(reps, "doc_id", "left_semi"), words)
-    placed = members.join(places, "fp").groupBy("g").agg(F.collect_list(F.struct("fp", "file", "at", "n")).alias("sets"))
+    more = counts.where("n > 2").select("key", F.col("low").bitwiseXOR(F.col("key")).alias("a"))
+    star = rows.join(more.hint("merge"), "key").select("a", F.col("fp").alias("b"))  # at every size: growth stays plain
+    pairs = same.unionByName(near).unionByName(counts.where("n = 2").select("a", "b")).unionByName(star)
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def links(docs: DataFrame, found: DataFrame, words: int, alike: tuple[int, int], near_bits) -> DataFrame:
+    """(a, b): candidates among the classes fp of keyed() that are alike. near_bits gives pairs of near fingerprints."""
+    numbered = found.where("doc_id IS NOT NULL")
+    reps = numbered.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    classes = shared.stored(found.join(reps, ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id", "fp"]), "shingled")
+    pairs = shared.stored(candidates(classes, near_bits), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    wanted = classes.join(ends, "fp", "left_semi").select("doc_id").distinct()
+    places = shared.stored(written(docs.join(wanted, "doc_id", "left_semi"), words), "places")
+    for end in "ab":
+        one = places.select(F.col("fp").alias(end), F.struct("file", "at", "n").alias(f"set_{end}"))
+        pairs = pairs.join(one.hint("merge"), end)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         opened: dict = {}
 
-        def read(file: str, at: int, n: int) -> np.ndarray:
-            if file not in opened:
+        def read(place: dict) -> np.ndarray:
+            if place["file"] not in opened:
                 if len(opened) >= OPEN_FILES:
                     opened.clear()
-                fs, path = shared.open_fs(file)
-                opened[file] = np.memmap(path, "<u8", "r") if fs.type_name == "local" else fs.open_input_file(path)
-            f = opened[file]
-            return f[at // 8 : at // 8 + n] if isinstance(f, np.memmap) else np.frombuffer(f.read_at(8 * n, at), "<u8")
-
-        import pyarrow as pa
+                fs, path = shared.open_fs(place["file"])
+                opened[place["file"]] = np.memmap(path, "<u8", "r") if fs.type_name == "local" else fs.open_input_file(path)
+            f, at, n = opened[place["file"]], place["at"], place["n"]
+            return np.asarray(f[at // 8 : at // 8 + n]) if isinstance(f, np.memmap) else np.frombuffer(f.read_at(8 * n, at), "<u8")
 
         for b in batches:
-            a, z = [], []
-            for sets in b.column("sets"):
-                values = sets.values
-                fp, file, at, n = (values.field(k).to_pylist() for k in ("fp", "file", "at", "n"))
-                for i, j in linked(np.array(n, np.int64), lambda i: np.asarray(read(file[i], at[i], n[i])), alike):  # noqa: B023
-                    a.append(fp[i])
-                    z.append(fp[j])
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
-
-    return shared.stored(placed.select("sets").mapInArrow(run, "a long, b long").distinct(), "alike")
+            a, z = b.column("set_a").to_pylist(), b.column("set_b").to_pylist()
+            good = []
+            for x, y in zip(a, z):
+                n = x["n"] + y["n"]
+                ok = min(x["n"], y["n"]) * alike[1] >= max(x["n"], y["n"]) * alike[0]  # else the sizes alone tell
+                both = common(read(x), read(y)) if ok and x["n"] and y["n"] else 0
+                good.append(both > 0 and both * alike[1] >= alike[0] * (n - both))
+            yield pa.record_batch([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return shared.stored(pairs.repartition(tasks).mapInArrow(run, "a long, b long"), "alike")

@@ -61,7 +61,8 @@ def links(classes: DataFrame, crowd: int = CROWD) -> DataFrame:
     keys = shared.stored(keys.where("n > 1"), "keys")
     out = keys.where("n = 2").where(near).select("a", "b")
     if not keys.where("n > 2").isEmpty():
-        members = shared.stored(variants.join(keys.where("n > 2").select("key", "n"), "key"), "members")
+        # a sort-merge join at every size: the few keys are soon too many to broadcast, and growth is then as measured
+        members = shared.stored(variants.join(keys.where("n > 2").select("key", "n").hint("merge"), "key"), "members")
         some = members.where(F.col("n") <= crowd)
         left, right = some.select("key", F.col("fp").alias("a")), some.select("key", F.col("fp").alias("b"))
         out = out.unionByName(left.join(right, "key").where(f"a < b AND {near}").select("a", "b"))
@@ -74,11 +75,12 @@ def links(classes: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 def grouped(docs: DataFrame, words: int = WORDS, alike: tuple[int, int] | None = None) -> DataFrame:
     """doc_id, fp, component_id for documents (doc_id, text). With alike, a fraction such as (4, 5), documents link by
-    the Jaccard similarity of their word shingles instead, and fp tells the sets of shingles apart."""
-    found = shared.stored(shingles.keyed(docs, words, alike) if alike else fingerprints(docs, words), "fingerprints")
+    the Jaccard similarity of their sets of word shingles instead, fp tells the sets apart, and near fingerprints are
+    candidates that the sets verify; see shingles.py for what else is."""
+    found = shared.stored(shingles.keyed(docs, words) if alike else fingerprints(docs, words), "fingerprints")
     numbered = found.where(F.col("doc_id").isNotNull())
     classes = shared.stored(numbered.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    edges = shingles.links(docs, found, words, alike) if alike else links(classes)
+    edges = shingles.links(docs, found, words, alike, links) if alike else links(classes)
     twice = numbered.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b")
     if not twice.isEmpty():  # rows with equal doc_id and different texts
         edges = edges.unionByName(numbered.join(twice.select("doc_id", "a"), "doc_id").where("fp <> a").select("a", F.col("fp").alias("b")))

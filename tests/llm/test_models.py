@@ -100,3 +100,59 @@ def test_training_lowers_the_loss():
         scoring.train_nce(model, codes, counts, noise, rng, power)
     near, far, bias, norm = scoring.tables(model)
     assert near[1, 2] + far[0, 2] + bias[2] - norm[0, 1] > math.log(0.6)
+
+
+def plain_vector(text):
+    """Square roots of counts of 1- to 3-byte runs, hashed one by one, at length one."""
+    raw = " " + " ".join("".join(c if c.isascii() and c.isalpha() or ord(c) >= 128 else " " for c in text.lower()).split(" ")) + " "
+    while "  " in raw:
+        raw = raw.replace("  ", " ")
+    b = (raw if raw.strip() else "  ").encode()
+    counts = [0.0] * language.DIMS
+    for n in (1, 2, 3):
+        for i in range(len(b) - n + 1):
+            code = 0
+            for c in b[i : i + n]:
+                code = (code * 257 + c) % 2**32
+            counts[(((code + n) % 2**32) * 2654435761 % 2**32 >> 16) % language.DIMS] += 1
+    size = math.sqrt(sum(counts)) or 1
+    return [math.sqrt(c) / size for c in counts]
+
+
+def test_predictions_by_hand(spark, documents):
+    """Each prediction recomputed from the weights: the family of the largest margin, then the pairwise votes."""
+    model = language.learn(documents)
+    rows = {r["doc_id"]: r for r in language.identify(documents).collect()}
+    dot = lambda w, v: sum(float(a) * b for a, b in zip(w, v)) + float(w[-1])
+    for r in documents.limit(40).collect():
+        if not r["text"] or not any(c.isalpha() for c in r["text"]) or len(r["text"]) > 20_000:
+            continue
+        v = plain_vector(r["text"])
+        tops = [dot(w, v) for w in model["top"]]
+        family = model["families"][tops.index(max(tops))]
+        names, machines = model["within"][family]
+        wins = {n: [0, 0.0] for n in names}
+        sure = [1 / (1 + math.exp(-4 * max(tops)))]
+        pairs = {}
+        for (a, b), w in machines.items():
+            m = dot(w, v)
+            pairs[a, b] = m
+            won = a if m >= 0 else b
+            wins[won] = [wins[won][0] + 1, wins[won][1] + abs(m)]
+        best = max(names, key=lambda n: (wins[n], n))
+        own = [1 / (1 + math.exp(-4 * (m if best == a else -m))) for (a, b), m in pairs.items() if best in (a, b)]
+        want = sure[0] * (sum(own) / len(own) if own else 1)
+        got = rows[r["doc_id"]]
+        assert got["lang_pred"] == best and abs(got["score"] - want) < 1e-3
+
+
+def test_a_large_group_of_copies_teaches_once(spark, documents):
+    """Copies of one text reach the training task as one row, however many they are."""
+    from pyspark.sql import functions as F
+
+    row = documents.where("lang = 'en' AND text IS NOT NULL").orderBy("doc_id").limit(1)
+    copies = row.crossJoin(spark.range(20_000)).withColumn("doc_id", F.col("id") + 10**6).drop("id")
+    many = documents.unionByName(copies)
+    held = {r["doc_id"]: r["lang_pred"] for r in language.identify(many, sample=400).where("held_out AND doc_id < 1000000").collect()}
+    true = {r["doc_id"]: r["lang"] for r in documents.collect()}
+    assert sum(held[d] == true[d] for d in held) >= 0.95 * len(held)

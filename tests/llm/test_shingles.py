@@ -1,9 +1,9 @@
 import random
 
 import corpus_pipeline
-import pytest
+import numpy as np
 
-from lectern.llm import shingles, simhash
+from lectern.llm import shared, shingles, simhash
 
 
 def plain_sets(rows, k=5):
@@ -55,10 +55,7 @@ def planted():
     return [(i, " ".join(r)) for i, r in enumerate(rows)]
 
 
-@pytest.mark.parametrize("frequent", [2, 4, 10**9])
-def test_near_copies_against_brute_force(spark, monkeypatch, frequent):
-    """Whatever counts as frequent, the same copies go."""
-    monkeypatch.setattr(shingles, "FREQUENT", frequent)
+def test_near_copies_against_brute_force(spark):
     rows = planted()
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, keys int").repartition(3)
     kept = simhash.drop_near_copies(df, words=5, alike=(4, 5))
@@ -66,6 +63,36 @@ def test_near_copies_against_brute_force(spark, monkeypatch, frequent):
     assert sorted(r["doc_id"] for r in kept.collect()) == plain_kept(rows)
 
 
+def test_keys_of_alike_sets():
+    """Pairs of similarity 0.8 share a key nearly always, pairs of 0.3 seldom."""
+    rng = np.random.default_rng(5)
+    met = {0.8: 0, 0.3: 0}
+    for alike in met:
+        for _ in range(300):
+            n = int(rng.integers(20, 400))
+            both = round(2 * n * alike / (1 + alike))
+            x = shingles.mixed(rng.integers(0, 1 << 62, 2 * n - both).astype("<u8"))
+            a, b = np.sort(x[:n]), np.sort(x[n - both :])
+            met[alike] += bool({*shingles.bands(a).tolist()} & {*shingles.bands(b).tolist()})
+    assert met[0.8] >= 299 and met[0.3] <= 30
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Some thousand documents, each near to a few others only by chains: candidates stay in proportion, one stays."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = []
+    for i in range(1500):
+        copy = list(base)
+        copy[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert [r["doc_id"] for r in simhash.drop_near_copies(df, words=5, alike=(4, 5)).collect()] == [0]
+    found = shared.stored(shingles.keyed(df, 5), "t")
+    pairs = shingles.candidates(found.where("doc_id IS NOT NULL"), simhash.links)
+    assert pairs.count() <= len(rows) * (shingles.BANDS + 64)
+
+
 def test_pipeline_drops_planted_near_copies(spark, documents):
     """The stages that drop copies leave none of the near copies that brute force finds."""
     stages = dict(corpus_pipeline.STAGES)
