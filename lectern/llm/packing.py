@@ -5,7 +5,8 @@ the driver. There all patterns of two or three lengths that fill a sequence are
 squares fits how often each is used, the counts are rounded down to whole numbers that the histogram covers, and the
 pieces that remain are packed by best fit on their histogram. The plan has at most some thousand kinds of sequence
 however many documents there are. A piece finds its place by its rank among the pieces of its length: ranks within
-an input partition plus a prefix sum over partitions, so no length is ever gathered in one task.
+an input partition plus a prefix sum over partitions, so no length is ever gathered in one task. The prefix sums have a
+row for each length and partition and are joined by sort and merge, never broadcast.
 
 Results in special cases. Null and empty texts are one piece, the end id alone. Rows with equal doc_id are packed
 each for itself. A null doc_id stays null. An empty table gives no rows. Other columns are not read.
@@ -210,7 +211,7 @@ def pack(docs: DataFrame, *, limit: int = LIMIT, **tokens) -> DataFrame:
     where = spark.sparkContext.broadcast(places(plan(hist, limit)))  # a row for each place in each kind of sequence
     before = W.partitionBy("length").orderBy("pid").rowsBetween(W.unboundedPreceding, -1)
     bases = counts.select("length", "pid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(bases, ["length", "pid"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
+    ranked = pieces.join(bases.hint("merge"), ["length", "pid"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
 
     def assign(batches):
         p = where.value

@@ -3,10 +3,14 @@
 A BPE tokenizer never merges across the pieces that its pre-tokenizer cuts. So a text is cut at ASCII white space
 into chunks which hold whole pieces, each distinct chunk is encoded once by the tokenizers library and the ids of a
 text are the ids of its chunks. Texts where that cut is not provably the pre-tokenizer's (they hold white space
-outside ASCII, or the separators U+001C to U+001F) are encoded whole.
+outside ASCII, the separators U+001C to U+001F, or the string of a token added to the vocabulary, such as an end mark,
+which the library gives that token's id) are encoded whole.
+
+Texts are encoded where they are read; only their ids are shuffled into the order of doc_id, to ranges whose bounds are
+quantiles of doc_id.
 
 Results in special cases. Null and empty texts give the end id alone. A null doc_id sorts first and comes back as
-null. Rows with equal doc_id are kept, ordered by text. An empty table gives no rows. Other columns are not read.
+null. Rows with equal doc_id are kept, ordered by their ids. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -51,8 +55,9 @@ class PieceEncoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)).search if added else lambda text: None
         self.style, self.cut, self.keep = style, CHUNKS[style], keep
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.old: dict[bytes, bytes] = {}
@@ -83,7 +88,7 @@ class PieceEncoder(dict):
                 self.old = dict(self)
                 self.clear()
             raw = (t or "").encode()
-            out.append(self.whole(t) if t and ODD_SPACE.search(t) else b"".join(map(get, cut(raw.lower() if lower else raw))))
+            out.append(self.whole(t) if t and (ODD_SPACE.search(t) or self.added(t)) else b"".join(map(get, cut(raw.lower() if lower else raw))))
         return out
 
 
@@ -112,18 +117,29 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str = "byte_bpe_
     all earlier partitions, a prefix sum over the partitions' totals. A task that is run again writes files of
     another name; only files of tasks whose row was committed are in the manifest."""
     spark = docs.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = docs.select(F.percentile_approx("doc_id", [k / tasks for k in range(1, tasks)] or [0.5], 100 * tasks)).first()[0] or []
+    bounds = np.unique(np.array(cuts, np.int64))
+
+    def encode(batches):
+        enc = encoder(tokenizer_path(tokenizer), style)
+        for b in batches:
+            at = np.searchsorted(bounds, np.asarray(b.column("doc_id").fill_null(NULL_ID)), "left")
+            yield {"part": at, "doc_id": b.column("doc_id"), "ids": enc.encode(b.column("text").to_pylist()), "width": [enc.dtype.itemsize] * b.num_rows}
 
     def write(batches):
-        part = TaskContext.get().partitionId()
-        enc, name = encoder(tokenizer_path(tokenizer), style), f"{part:06d}-{uuid.uuid4().hex}"
-        width, end = enc.dtype.itemsize, np.array([end_id], enc.dtype).tobytes()
+        part, name = TaskContext.get().partitionId(), uuid.uuid4().hex
         fs, base = shared.open_fs(path)
-        total, n = 0, 0
+        total = n = width = 0
         fs.create_dir(base, recursive=True)
         with fs.open_output_stream(f"{base}/{name}.ids") as ids, fs.open_output_stream(f"{base}/{name}.off") as off, fs.open_output_stream(f"{base}/{name}.doc") as doc:
             off.write(np.zeros(1, "<u8").tobytes())
-            for b in shared.small_batches(batches):
-                found = enc.encode(b.column("text").to_pylist())
+            for b in shared.small_batches(batches, "ids"):
+                if not b.num_rows:
+                    continue
+                width = b.column("width")[0].as_py()
+                end = np.array([end_id], f"<u{width}").tobytes()
+                found = b.column("ids").to_pylist()
                 ids.write(b"".join(x for f in found for x in (f, end)))
                 sizes = np.array([len(f) // width + 1 for f in found], np.int64)
                 off.write((total + np.cumsum(sizes)).astype("<u8").tobytes())
@@ -132,7 +148,8 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str = "byte_bpe_
         if n:
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "width": pa.array([width], pa.int32()), "n_docs": [n], "n_tokens": [total]})
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    encoded = shared.map_texts(docs.select("doc_id", "text"), encode, "part int, doc_id long, ids binary, width int")
+    ordered = encoded.repartitionById(len(bounds) + 1, "part").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids").select("doc_id", "ids", "width")
     parts = shared.stored(ordered.mapInArrow(write, "part int, file string, width int, n_docs long, n_tokens long"), "parts")
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row for each partition, not for each document
     manifest = parts.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
