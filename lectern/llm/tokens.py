@@ -57,7 +57,7 @@ class PieceEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(added)).search if added else lambda text: None
+        self.added = re.compile("|".join(added), re.IGNORECASE).search if added else lambda text: None
         self.style, self.cut, self.keep = style, CHUNKS[style], keep
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.old: dict[bytes, bytes] = {}
