@@ -3,12 +3,14 @@
 The patterns are the benchmark's windows of 13 consecutive words; an item with fewer words is one window. Patterns of
 one length form a set. For a set with windows of m words, the block shift table holds for each pair of adjacent words
 how far it stands from the end of any window; a pair that is in none lets the search skip m - 1 words. Where the
-shift is zero, the bucket of the last pair's windows is compared word by word, after their first word. So most words
-of a clean document are never looked at.
+shift is zero, the bucket of the last pair's windows is searched by a hash of all their words, and what is found there
+is compared word by word with the window. So most words of a clean document are never looked at. Tables hold 64-bit word
+hashes, and lanes of many documents move through the table together.
 
-The benchmark is read once, in order, and cut into blocks of bounded size; each block's items are written to the
-shared folder as one file. A task searches its documents against one block after another, so memory is bounded for a
-benchmark of any size, and a single block stays loaded in the Python worker.
+The benchmark is dealt to as many tasks as it has blocks of bounded size. Each builds the tables of its block and writes
+them as flat arrays to the shared folder; nothing of the benchmark passes through the driver but file names. A task that
+searches maps the tables of one block after another, in time that does not depend on how often it does so, and puts a
+batch of documents through each: time grows with blocks times text, memory with neither.
 
 Results in special cases. Null, empty and wordless documents have no words, no hits and are clean; their items_sha256
 is that of the empty string. Items with no words, or null, have no window. Equal windows of several items count for
@@ -18,136 +20,213 @@ benchmark leaves every document clean, an empty documents table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
-import pickle
+import uuid
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import shared
 
 WINDOW = 13
-#: Words of benchmark text in a block.
-BLOCK_WORDS = 2_000_000
+#: Words of benchmark text in a block. Its tables take some 60 bytes a word, of which a search touches what it needs.
+BLOCK_WORDS = 1_000_000
+#: End positions that a lane of the search goes through, word hashes kept, blocks kept open, bytes of text in a batch.
+LANE, KEEP_WORDS, OPEN_BLOCKS, BATCH = 512, 200_000, 64, 4 << 20
+_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(shared.WORD_TABLE).split()
 
 
-class PatternSet:
-    """Windows of one length m, and the items of each."""
-
-    def __init__(self, m: int):
-        self.m, self.items = m, {}
-        self.shift: dict = {}
-        self.buckets: dict = {}
+class WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_hashes = WordHashes()
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    if len(_hashes) > KEEP_WORDS:
+        _hashes.clear()
+    return np.fromiter(map(_hashes.__getitem__, words), "<u8", len(words))
+
+
+def pair_slots(before: np.ndarray, last: np.ndarray, bits: int) -> np.ndarray:
+    """Slot of a pair of adjacent words in tables of 2 ** bits entries."""
+    x = (before * _P) ^ (last * _Q)
+    return ((x ^ (x >> np.uint64(31))) * _P >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def window_keys(h: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
+    """40-bit hashes of the m words from each start."""
+    x = np.zeros(len(starts), "<u8")
+    for i in range(m):
+        x = (x ^ (x >> np.uint64(29))) * _P + h[starts + i]
+    return (x ^ (x >> np.uint64(32))) * _Q >> np.uint64(24)
+
+
+def build_block(items: list[tuple], window: int) -> dict[str, np.ndarray]:
+    """The tables of some items (id as text or None, words), for each length m of windows: `shift`, the smallest shift of
+    each slot of pairs; `keys`, sorted, the slot of a window's last pair above the hash of its words; `at` and `item`,
+    where the window begins among the `words` of the block, and whose it is."""
+    words = [w for _, ws in items for w in ws]
+    h = hashes_of(words)
+    text = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words], dtype="<i8") if words else np.zeros(0, "<i8")
+    names = ["" if i is None else i for i, _ in items]
+    out = {
+        "text": np.frombuffer(text or b" ", np.uint8),
+        "begin": np.append(0, ends).astype("<i8"),
+        "names": np.frombuffer("".join(names).encode() or b" ", np.uint8),
+        "name_end": np.cumsum([len(n.encode()) for n in names], dtype="<i8"),
+        "named": np.array([i is not None for i, _ in items], np.uint8),
+    }
+    first = np.cumsum([0, *(len(ws) for _, ws in items)])
+    size = np.array([len(ws) for _, ws in items], np.int64)
+    for m in np.unique(np.minimum(size, window)).tolist():
+        mine = np.flatnonzero(np.minimum(size, window) == m)
+        n = size[mine] - m + 1
+        item = np.repeat(mine, n)
+        at = np.repeat(first[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        bits = max(8, int(np.ceil(np.log2(4 * size[mine].sum() + 1))))
+        shift = np.full(1 << bits, max(1, m - 1), np.uint8)
+        if m > 1:
+            inner = np.repeat(first[mine] - np.cumsum(size[mine] - 1) + size[mine] - 1, size[mine] - 1) + np.arange((size[mine] - 1).sum()) + 1
+            place = inner - np.repeat(first[mine], size[mine] - 1)  # of the pair's second word in its item
+            np.minimum.at(shift, pair_slots(h[inner - 1], h[inner], bits), np.maximum(0, m - 1 - place).astype(np.uint8))
+            slots = pair_slots(h[at + m - 2], h[at + m - 1], bits)
+        else:
+            slots = pair_slots(h[at], h[at], bits)
+            shift[slots] = 0
+        keys = (slots.astype("<u8") << np.uint64(40)) | window_keys(h, at, m)
+        order = np.lexsort((at, item, keys))
+        out |= {f"shift{m}": shift, f"keys{m}": keys[order], f"at{m}": at[order].astype("<i8"), f"item{m}": item[order].astype("<i4")}
+    return out
 
-    def add(self, window: tuple[bytes, ...], item) -> None:
-        self.items.setdefault(window, set()).add(item)
 
-    def build(self) -> None:
-        m, shift = self.m, self.shift
-        if m == 1:
+class Block:
+    """The tables of one block, mapped."""
+
+    def __init__(self, uri: str):
+        self.a = shared.read_arrays(uri)
+        self.lengths = sorted(int(k[5:]) for k in self.a if k.startswith("shift"))
+
+    def name(self, item: int) -> str | None:
+        if not self.a["named"][item]:
+            return None
+        z = int(self.a["name_end"][item])
+        return self.a["names"][int(self.a["name_end"][item - 1]) if item else 0 : z].tobytes().decode()
+
+    def window(self, at: int, m: int) -> bytes:
+        return self.a["text"][int(self.a["begin"][at]) : int(self.a["begin"][at + m]) - 1].tobytes()
+
+    def candidates(self, h: np.ndarray, first: np.ndarray, size: np.ndarray, m: int) -> np.ndarray:
+        """Ends of words runs that may be windows. h: hashes of all documents' words; first, size: of each document."""
+        shift = self.a[f"shift{m}"]
+        bits = len(shift).bit_length() - 1
+        long = size >= m
+        lo, hi = first[long] + m - 1, first[long] + size[long]  # ends to look at
+        lanes = -(-(hi - lo) // LANE)
+        at = np.repeat(lo - LANE * (np.cumsum(lanes) - lanes), lanes) + LANE * np.arange(lanes.sum())
+        stop = np.minimum(at + LANE, np.repeat(hi, lanes))
+        back = 0 if m == 1 else 1
+        found = []
+        while len(at):
+            step = shift[pair_slots(h[at - back], h[at], bits)]
+            found.append(at[step == 0])
+            at = at + np.maximum(step, 1)
+            on = at < stop
+            at, stop = at[on], stop[on]
+        return np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+    def occurrences(self, h: np.ndarray, words: list[bytes], first: np.ndarray, size: np.ndarray, m: int):
+        """(start, m, items) of every occurrence."""
+        ends = self.candidates(h, first, size, m)
+        if not len(ends):
             return
-        for w in self.items:
-            for i in range(1, m):
-                pair = w[i - 1 : i + 1]
-                shift[pair] = min(shift.get(pair, m - 1), m - 1 - i)
-            self.buckets.setdefault(w[-2:], {}).setdefault(w[0], []).append(w)
-
-    def occurrences(self, words: list[bytes]):
-        """(start, window) of every occurrence."""
-        m, n = self.m, len(words)
-        if m == 1:
-            for i, w in enumerate(words):
-                if (w,) in self.items:
-                    yield i, (w,)
-            return
-        shift, skip, at = self.shift.get, m - 1, m - 1
-        while at < n:
-            step = shift((words[at - 1], words[at]), skip)
-            if step:
-                at += step
-                continue
-            start = at - m + 1
-            for w in self.buckets[words[at - 1], words[at]].get(words[start], ()):
-                if w == tuple(words[start : at + 1]):
-                    yield start, w
-            at += 1
-
-
-def build_sets(items: list[tuple], window: int) -> list[PatternSet]:
-    sets: dict[int, PatternSet] = {}
-    for item, words in items:
-        m = min(window, len(words))
-        kind = sets.setdefault(m, PatternSet(m))
-        for i in range(len(words) - m + 1):
-            kind.add(tuple(words[i : i + m]), item)
-    for kind in sets.values():
-        kind.build()
-    return list(sets.values())
-
-
-def write_blocks(benchmark: DataFrame, block_words: int) -> list[str]:
-    """Files of benchmark items. Rows come to the driver one partition at a time and leave it block by block."""
+        keys, bits = self.a[f"keys{m}"], len(self.a[f"shift{m}"]).bit_length() - 1
+        starts = ends - m + 1
+        want = (pair_slots(h[ends - (m > 1)], h[ends], bits).astype("<u8") << np.uint64(40)) | window_keys(h, starts, m)
+        low, high = np.searchsorted(keys, want, "left"), np.searchsorted(keys, want, "right")
+        at, item = self.a[f"at{m}"], self.a[f"item{m}"]
+        for k in np.flatnonzero(high > low).tolist():
+            start = int(starts[k])
+            text = b" ".join(words[start : start + m])
+            found, last = [], -1
+            for j in range(int(low[k]), int(high[k])):
+                if int(item[j]) != last and self.window(int(at[j]), m) == text:
+                    last = int(item[j])
+                    found.append(last)
+            if found:
+                yield start, m, found
+
+
+def write_blocks(benchmark: DataFrame, block_words: int, window: int = WINDOW) -> list[str]:
+    """Files of tables, built by tasks, for rows (item_id, text). The driver sees a number and the names."""
     root = shared.scratch(benchmark.sparkSession, "benchmark")
-    fs, base = shared.open_fs(root)
-    fs.create_dir(base, recursive=True)
-    files, block, size = [], [], 0
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text IS NOT NULL")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // (6 * block_words)))  # of words with six bytes
 
-    def flush():
-        with fs.open_output_stream(f"{base}/{len(files)}") as f:
-            f.write(pickle.dumps(block))
-        files.append(f"{root}/{len(files)}")
+    def build(batches):
+        block, n = [], 0
 
-    for r in benchmark.select("item_id", "text").toLocalIterator():
-        if words := words_of(r["text"]):
-            block.append((r["item_id"], words))
-            size += len(words)
-        if size >= block_words:
-            flush()
-            block, size = [], 0
-    if block:
-        flush()
-    return files
+        def flush():
+            uri = f"{root}/{uuid.uuid4().hex}"
+            shared.write_arrays(uri, build_block(block, window))
+            block.clear()
+            return pa.record_batch([pa.array([uri])], names=["uri"])
 
+        for b in batches:
+            for i, t in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist()):
+                if words := words_of(t):
+                    block.append((i, words))
+                    n += len(words)
+                if n >= block_words:
+                    yield flush()
+                    n = 0
+        if block:
+            yield flush()
 
-_loaded: dict[str, list[PatternSet]] = {}
+    return sorted(r["uri"] for r in rows.repartition(blocks).mapInArrow(build, "uri string").collect())
 
 
-def load_block(uri: str, window: int) -> list[PatternSet]:
-    """The newest block stays in the worker."""
-    if uri not in _loaded:
-        _loaded.clear()
-        fs, path = shared.open_fs(uri)
-        with fs.open_input_file(path) as f:
-            _loaded[uri] = build_sets(pickle.loads(f.read()), window)
-    return _loaded[uri]
+_open: dict[str, Block] = {}
 
 
-def search(texts: list[str | None], files: list[str], window: int) -> list[tuple[int, int, list]]:
+def open_block(uri: str) -> Block:
+    if uri not in _open:
+        if len(_open) >= OPEN_BLOCKS:
+            _open.pop(next(iter(_open)))
+        _open[uri] = Block(uri)
+    return _open[uri]
+
+
+def search(texts: list[str | None], files: list[str]) -> list[tuple[int, int, list]]:
     """For each text its number of words, of hit words, and the items that occur."""
     split = [words_of(t) for t in texts]
-    hits: list[dict[int, int]] = [{} for _ in texts]  # start to the longest window there
+    size = np.array([len(w) for w in split], np.int64)
+    first = np.cumsum(size) - size
+    words = [w for ws in split for w in ws]
+    h = hashes_of(words)
+    edges = np.zeros(len(words) + 1, np.int64)
     items: list[set] = [set() for _ in texts]
     for file in files:
-        for kind in load_block(file, window):
-            for words, hit, item in zip(split, hits, items):
-                if len(words) >= kind.m:
-                    for start, w in kind.occurrences(words):
-                        hit[start] = max(hit.get(start, 0), kind.m)
-                        item |= kind.items[w]
-    out = []
-    for words, hit, item in zip(split, hits, items):
-        n = upto = 0
-        for start in sorted(hit):
-            end = start + hit[start]
-            n += max(0, end - max(start, upto))
-            upto = max(upto, end)
-        out.append((len(words), n, sorted(str(i) for i in item if i is not None)))
-    return out
+        block = open_block(file)
+        for m in block.lengths:
+            for start, width, found in block.occurrences(h, words, first, size, m):
+                edges[start] += 1
+                edges[start + width] -= 1
+                items[int(np.searchsorted(first + size, start, "right"))].update(block.name(i) for i in found)
+    hit = np.append(0, np.cumsum(np.cumsum(edges[:-1]) > 0))
+    n_hit = hit[first + size] - hit[first]
+    return [(n, k, sorted(i for i in item if i is not None)) for n, k, item in zip(size.tolist(), n_hit.tolist(), items)]
 
 
 def is_contaminated(n_words: int, n_hit: int) -> bool:
@@ -156,11 +235,11 @@ def is_contaminated(n_words: int, n_hit: int) -> bool:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items, contaminated for documents (doc_id, text)."""
-    files = write_blocks(benchmark, block_words)
+    files = write_blocks(benchmark, block_words, window)
 
     def run(batches):
         for b in batches:
-            found = search(b.column("text").to_pylist(), files, window)
+            found = search(b.column("text").to_pylist(), files)
             yield {
                 "doc_id": b.column("doc_id"),
                 "n_words": [n for n, _, _ in found],
@@ -170,16 +249,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                 "contaminated": [is_contaminated(n, h) for n, h, _ in found],
             }
 
-    return shared.map_texts(docs.select("doc_id", "text"), run, "doc_id long, n_words long, n_hit long, n_items long, items array<string>, contaminated boolean")
+    return shared.map_texts(docs.select("doc_id", "text"), run, "doc_id long, n_words long, n_hit long, n_items long, items array<string>, contaminated boolean", limit=BATCH)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents that are not contaminated, all columns as they were."""
-    files = write_blocks(benchmark, block_words)
+    files = write_blocks(benchmark, block_words, window)
 
     def run(batches):
-        for b in shared.small_batches(batches):
-            found = search(b.column("text").to_pylist(), files, window)
+        for b in shared.small_batches(batches, limit=BATCH):
+            found = search(b.column("text").to_pylist(), files)
             yield b.filter(pa.array([not is_contaminated(n, h) for n, h, _ in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

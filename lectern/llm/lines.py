@@ -2,14 +2,15 @@
 
 Every document gives the 128-bit hashes of its distinct long line keys. Spark counts the documents of each hash and
 keeps the largest doc_id, with partial sums before the shuffle, so a line that all documents share costs a row for
-each task. The distinct hashes that enough documents hold are dealt to shards by their first half; each shard gets a
-minimal perfect hash that indexes flat arrays: a 64-bit fingerprint (the hash's second half), the document count and
-the largest doc_id. The shards are files in the shared folder. Documents probe the mapped arrays, a batch at a time
-and shard by shard; lines are never joined.
-
-Results in special cases. Null and empty texts are one empty line, which is too short to drop. Each row counts as a
-document of its own, also where rows repeat; all rows with the largest doc_id keep the line. A null doc_id is smaller
-than any other. An empty table gives no rows. Other columns pass through `dedup_lines` untouched.
+each task. All distinct hashes are dealt to shards by their first half; each shard gets a minimal perfect hash that
+indexes flat arrays: a 64-bit fingerprint (the hash's second half), the document count and the largest doc_id. The
+shards are files in the shared folder. Documents probe the mapped arrays, a batch at a time and shard by shard, and the
+count found there decides; lines are never joined.
+
+Results in special cases. Null and empty texts are one empty line, which is too short to drop. Rows that repeat a
+doc_id are one document when documents are counted, and so are all rows with a null doc_id; each row loses its own
+lines, and all rows with the largest doc_id keep the line. A null doc_id is smaller than any other. An empty table
+gives no rows. Other columns pass through `dedup_lines` untouched.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from lectern.llm import shared
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 NULL_ID = -(1 << 63)
-#: Hashes a shard holds on average; a shard's arrays then take some 3 MB.
-PER_SHARD = 1 << 17
+#: Hashes a shard holds on average; a shard's arrays then take some 3 MB. Shards kept open, where they are mapped and
+#: where they are read.
+PER_SHARD, OPEN_MAPPED, OPEN_READ = 1 << 17, 4096, 16
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -165,10 +167,11 @@ def dedup_lines(docs: DataFrame, *, least_chars: int = LEAST_CHARS, least_docs:
     Returns the same columns with the shorter text, a null text staying null and n_chars, where it is there, counted
     anew; with `mark` instead doc_id, n_lines, n_dropped, text and kept_sha256."""
     spark = docs.sparkSession
-    counted = (
-        line_hashes(docs, least_chars).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= least_docs)
-    )
-    counted = shared.stored(counted, "lines")
+    hashes = line_hashes(docs, least_chars)
+    twice = shared.stored(docs.groupBy(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id")).agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
+    if not twice.isEmpty():  # the lines of repeated rows are made distinct; those of all others already are
+        hashes = hashes.join(twice, "doc_id", "left_anti").unionByName(hashes.join(twice, "doc_id", "left_semi").distinct())
+    counted = shared.stored(hashes.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")), "lines")
     shards = max(1, -(-counted.count() // PER_SHARD))
     path = shared.scratch(spark, "perfect")
     names = write_shards(counted.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int")), path, shards)
@@ -177,7 +180,8 @@ def dedup_lines(docs: DataFrame, *, least_chars: int = LEAST_CHARS, least_docs:
     def arrays(shard):
         name = names[shard]
         if name not in held:
-            if len(held) >= 16:
+            mapped = shared.open_fs(path)[0].type_name == "local"
+            if len(held) >= (OPEN_MAPPED if mapped else OPEN_READ):
                 held.pop(next(iter(held)))
             held[name] = load_shard(path, name)
         return held[name]

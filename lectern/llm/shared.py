@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +63,35 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def write_arrays(uri: str, arrays: dict) -> None:
+    """Flat arrays in one file: the length of a JSON header, the header, the arrays from multiples of 8 bytes on."""
+    places, at = {}, 0
+    for name, a in arrays.items():
+        places[name] = [a.dtype.str, len(a), at]
+        at += -(-a.nbytes // 8) * 8
+    head = json.dumps(places).encode()
+    head += b" " * (-len(head) % 8)
+    fs, path = open_fs(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(path) as f:
+        f.write(len(head).to_bytes(8, "little") + head)
+        for a in arrays.values():
+            f.write(a.tobytes() + b"\0" * (-a.nbytes % 8))
+
+
+def read_arrays(uri: str) -> dict:
+    """The arrays of a file of write_arrays: memory-mapped where the store is a mounted file system, else read."""
+    fs, path = open_fs(uri)
+    if fs.type_name == "local":
+        raw = np.memmap(path, np.uint8, "r")
+    else:
+        with fs.open_input_file(path) as f:
+            raw = np.frombuffer(f.read(), np.uint8)
+    base = 8 + int.from_bytes(raw[:8].tobytes(), "little")
+    places = json.loads(raw[8:base].tobytes())
+    return {name: raw[base + at : base + at + n * np.dtype(kind).itemsize].view(kind) for name, (kind, n, at) in places.items()}
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about `limit` bytes of one text column, and one row at least."""
     for batch in batches:
@@ -71,8 +102,8 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit
             at += per
 
 
-def map_texts(df: DataFrame, make: Callable, schema: str) -> DataFrame:
-    """mapInArrow over batches of about 1 MB of text. make(batches) yields dicts of columns or record batches."""
+def map_texts(df: DataFrame, make: Callable, schema: str, limit: int = 1 << 20) -> DataFrame:
+    """mapInArrow over batches of about `limit` bytes of text. make(batches) yields dicts of columns or record batches."""
     from pyspark.sql.types import StructType, _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -81,7 +112,7 @@ def map_texts(df: DataFrame, make: Callable, schema: str) -> DataFrame:
     arrow = to_arrow_schema(kind)
 
     def run(batches):
-        for out in make(small_batches(batches)):
+        for out in make(small_batches(batches, limit=limit)):
             if isinstance(out, pa.RecordBatch):
                 yield out
             else:

@@ -23,15 +23,15 @@ def test_sql(spark, con, sf_dir, name):
 
 def plain_line_dedup(rows):
     keys = [[k.strip(" \t\n\r\x0b\x0c").translate({i: i + 32 for i in range(65, 91)}) for k in (t or "").split("\n")] for _, t in rows]
-    held, last = Counter(), {}
+    held, last = defaultdict(set), {}
     for (doc, _), ks in zip(rows, keys):
         for k in set(ks):
-            held[k] += 1
+            held[k].add(doc)
             last[k] = max(last.get(k, -(1 << 63)), -(1 << 63) if doc is None else doc)
     out = []
     for (doc, t), ks in zip(rows, keys):
         all_ = (t or "").split("\n")
-        kept = [x for x, k in zip(all_, ks) if len(k) < 20 or held[k] < 3 or last[k] == (-(1 << 63) if doc is None else doc)]
+        kept = [x for x, k in zip(all_, ks) if len(k) < 20 or len(held[k]) < 3 or last[k] == (-(1 << 63) if doc is None else doc)]
         out.append((str(doc), len(all_), len(all_) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
     return sorted(out)
 
@@ -54,6 +54,20 @@ def test_line_dedup_against_brute_force(spark):
     assert kept.where("doc_id = 61 AND text IS NULL").count() == 1
 
 
+def test_repeated_rows_are_one_document(spark, tmp_path):
+    """A line in two rows of one document and one of another is in two documents: by brute force and by the SQL."""
+    rows = [(1, "a line of twenty letters"), (1, "a line of twenty letters"), (2, "a line of twenty letters"), (3, "x"), (3, "x")]
+    rows += [(i, "another line of some length\nz") for i in (4, 4, 5, 6, 6, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lines.dedup_lines(df, mark=True).drop("text")
+    assert sorted((str(r["doc_id"]), r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in got.collect()) == plain_line_dedup(rows)
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = connect("/nowhere")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    by_doc = {r["doc_id"]: r["dropped"] for r in got.groupBy("doc_id").agg({"n_dropped": "sum"}).withColumnRenamed("sum(n_dropped)", "dropped").collect()}
+    assert by_doc == dict(con.execute(f"SELECT doc_id, n_dropped FROM ({registry.ORACLES['op5_line_dedup']})").fetchall())
+
+
 def test_line_dedup_of_odd_tables(spark, odd_docs, no_docs):
     assert lines.dedup_lines(odd_docs).count() == odd_docs.count()
     assert lines.dedup_lines(no_docs).count() == 0 and lines.dedup_lines(no_docs, mark=True).count() == 0

@@ -38,7 +38,7 @@ def got_contamination(docs, items, **kw):
     return sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r["contaminated"]) for r in rows)
 
 
-@pytest.mark.parametrize("block_words", [10, 2_000_000])
+@pytest.mark.parametrize("block_words", [10, 100, 2_000_000])
 def test_contamination_against_brute_force(spark, block_words):
     rng = random.Random(block_words)
     vocabulary = [f"w{i}" for i in range(12)] + ["Ä", "Éa"]
@@ -152,3 +152,25 @@ def test_shards_stay_bounded(spark, monkeypatch):
     rows = [r for r in vector_rows(3) if r[2] == 0]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     assert embeddings.audit(df, embeddings.near_duplicates(df), every=1) >= 0.9
+
+
+def test_many_blocks_cost_blocks_not_blocks_times_batches(spark):
+    """Tables are built once: a batch is searched against ten blocks without building any again, in bounded memory."""
+    import time
+
+    import numpy as np
+
+    rng = random.Random(1)
+    words = [f"w{rng.randrange(30_000)}" for _ in range(200_000)]
+    b = spark.createDataFrame([(i, " ".join(words[i * 100 : i * 100 + 100])) for i in range(2000)], "item_id long, text string")
+    files = decontamination.write_blocks(b, 20_000)
+    assert len(files) >= 10
+    texts = [" ".join(f"u{rng.randrange(30_000)}" for _ in range(500)) for _ in range(100)] + [" ".join(words[150:190])]
+    decontamination.search(texts, files)
+    began = time.time()
+    for _ in range(5):
+        found = decontamination.search(texts, files)
+    assert time.time() - began < 5
+    assert found[-1] == (40, 40, ["1"]) and not any(k for _, k, _ in found[:-1])
+    assert sum(sum(a.nbytes for a in decontamination.open_block(f).a.values()) for f in files) < 100 * len(words)
+    assert np.all([len(decontamination.open_block(f).lengths) == 1 for f in files])
