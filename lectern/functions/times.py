@@ -68,16 +68,16 @@ def hours_text(seconds: Column) -> Column:
     return F.when(s >= 3600, F.format_string("%dh %02dm", F.floor(s / 3600), F.floor(s % 3600 / 60))).otherwise(F.format_string("%dm", F.floor(s / 60)))
 
 
-def version_parts(c: Column, n: int = 8) -> Column:
-    """The numbers of a version, padded with zeros to n."""
-    found = F.transform(F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("long"))
-    return F.slice(F.concat(found, F.array_repeat(F.lit(0).cast("long"), n)), 1, n)
+def version_parts(c: Column) -> Column:
+    """The numbers of a version."""
+    return F.transform(F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("long"))
 
 
-def compare_versions(a: Column, b: Column, n: int = 8) -> Column:
-    """-1, 0 or 1; missing numbers are zeros."""
-    x, y = version_parts(a, n), version_parts(b, n)
-    return F.when(x < y, -1).when(x > y, 1).otherwise(0)
+def compare_versions(a: Column, b: Column) -> Column:
+    """-1, 0 or 1; missing numbers are zeros, however many there are."""
+    x, y = version_parts(a), version_parts(b)
+    sides = F.zip_with(x, y, lambda p, q: F.signum(F.coalesce(p, F.lit(0)) - F.coalesce(q, F.lit(0))).cast("int"))
+    return F.coalesce(F.get(F.filter(sides, lambda d: d != 0), F.lit(0)), F.lit(0))
 
 
 def word_ms(syllables: Column, rate: float | Column = 1.0) -> Column:

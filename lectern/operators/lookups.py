@@ -20,19 +20,22 @@ def within(points: DataFrame, spans: DataFrame, keys: list[str], point: str, sta
 
     With point_end the point is an interval, and a span must hold all of it. Points that repeat are kept; span columns
     that clash with point columns are the caller's to rename."""
-    pid = F.monotonically_increasing_id()
-    pts = points.withColumns({"__id": pid, "__b": F.floor(F.col(point) / width).cast("long")})
-    sp = spans.withColumn("__b", _buckets(F.col(start), F.col(end), width))
     hold = F.col(start) <= F.col(point)
     if point_end:
         hold &= F.col(point_end) <= F.col(end)
     else:
         hold &= (F.col(point) <= F.col(end)) if closed else (F.col(point) < F.col(end))
     cols = [c for c in spans.columns if c not in keys]
-    hit = pts.select(*keys, "__id", "__b", point, *([point_end] if point_end else [])).join(sp, [*keys, "__b"]).where(hold)
-    first = hit.groupBy("__id").agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("__s"))
-    out = pts.drop("__b").join(first, "__id", how)
-    return out.select(*points.columns, *[F.col("__s").getField(c).alias(c) for c in cols])
+    # equal points have equal hits, so they are numbered by their values and counted: nothing is evaluated twice by row
+    same = [c for c in dict.fromkeys([*keys, point, *([point_end] if point_end else [])])]
+    pts = points.select(*same).distinct().withColumn("__b", F.floor(F.col(point) / width).cast("long"))
+    sp = spans.select(*keys, *[F.col(c).alias(f"__s_{c}") if c in same else F.col(c) for c in cols]).withColumn("__b", _buckets(F.col(f"__s_{start}" if start in same else start), F.col(f"__s_{end}" if end in same else end), width))
+    hit = pts.join(sp, [*keys, "__b"]).where(hold)
+    first = hit.groupBy(*same).agg(F.min_by(F.struct(*[F.col(f"__s_{c}").alias(c) if c in same else F.col(c) for c in cols]), F.struct(*order)).alias("__s"))
+    named = first.select(*[F.col(c).alias(f"__p_{c}") for c in same], "__s")
+    on = [points[c].eqNullSafe(named[f"__p_{c}"]) for c in same]
+    out = points.join(named, on, how)
+    return out.select(*[points[c] for c in points.columns], *[F.col("__s").getField(c).alias(c) for c in cols])
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], t_left: str, t_right: str, take: list[str], tie: list[str] = (), *, width: float | None = None, forward: bool = False) -> DataFrame:
@@ -167,12 +170,15 @@ def keep_known(rows: DataFrame, known: DataFrame, key: str, keep: bool = True) -
 
 
 def spine_order(overlays: DataFrame, spine: DataFrame) -> DataFrame:
-    """Overlays (overlay_href, doc_href) in the spine's order of their documents' base names; the rest after, by href."""
+    """Overlays (book, overlay_href, doc_href) of each book in its spine's order of their documents' base names; the rest
+    after, by href. seq counts from 1 in each book. Tables without a column `book` are one book's."""
     from lectern.functions.paths import basename
 
-    s = spine.groupBy(basename(F.col("href")).alias("__base")).agg(F.min("pos").alias("spine_pos"))
-    j = overlays.withColumn("__base", basename(F.col("doc_href"))).join(s, "__base", "left").drop("__base")
-    return j.withColumn("seq", F.row_number().over(W.orderBy(F.col("spine_pos").asc_nulls_last(), "overlay_href")))  # one book's overlays
+    by = [c for c in ("book",) if c in overlays.columns and c in spine.columns]
+    s = spine.groupBy(*by, basename(F.col("href")).alias("__base")).agg(F.min("pos").alias("spine_pos"))
+    j = overlays.withColumn("__base", basename(F.col("doc_href"))).join(s, [*by, "__base"], "left").drop("__base")
+    over = W.partitionBy(*(by or [F.lit(0)])).orderBy(F.col("spine_pos").asc_nulls_last(), "overlay_href")
+    return j.withColumn("seq", F.row_number().over(over))
 
 
 def resume_entry(points: DataFrame, entries: DataFrame) -> DataFrame:

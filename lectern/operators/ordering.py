@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 #: What counts as an audio file.
 AUDIO = ["mp3", "m4a", "m4b", "ogg", "opus", "flac", "wav", "aac", "wma"]
-QUALITIES = ["x_low", "low", "medium", "high"]
+#: The ranks of voice qualities; an unknown one comes after all, a missing one is medium.
+QUALITY_RANKS = {"high": 1, "medium": 2, "low": 3}
 
 
 def extension(name: Column) -> Column:
@@ -29,10 +30,36 @@ def audio_devices(devices: DataFrame) -> DataFrame:
     return devices.where(F.coalesce(ok, F.lit(False))).orderBy(F.desc("connected"), F.desc("paired"), F.lower("name"), "mac")
 
 
+def quality_rank(quality: Column) -> Column:
+    """1 for the best; NULL counts as medium, unknown ones share the last rank."""
+    known = F.coalesce(quality, F.lit("medium"))
+    return F.coalesce(*[F.when(known == q, i) for q, i in QUALITY_RANKS.items()], F.lit(len(QUALITY_RANKS) + 1))
+
+
 def by_quality(voices: DataFrame) -> DataFrame:
     """Voices by quality, best first, then by name."""
-    rank = F.coalesce(*[F.when(F.col("quality") == q, i) for i, q in enumerate(QUALITIES)], F.lit(-1))
-    return voices.orderBy(rank.desc(), "name")
+    return voices.orderBy(quality_rank(F.col("quality")), "name")
+
+
+def usable_voices(voices: DataFrame) -> DataFrame:
+    """Voices that are installed or bundled; a missing flag is false."""
+    return voices.where(F.coalesce("installed", F.lit(False)) | F.coalesce("bundled", F.lit(False)))
+
+
+def pages_wanted(rows: DataFrame, wanted: list[int] | None, page: str = "page") -> DataFrame:
+    """Rows of the wanted pages; all without a choice."""
+    return rows if not wanted else rows.where(F.col(page).isin(list(wanted)))
+
+
+def to_transcode(files: DataFrame, cached: DataFrame, playable: list[str], name: str = "name") -> DataFrame:
+    """Audio files that cannot be played as they are and have no transcoded copy in the cache's listing (same column)."""
+    need = files.where(needs_transcoding(F.col(name), playable))
+    return need.join(cached.select(name).distinct(), name, "left_anti")
+
+
+def worth_resuming(rows: DataFrame, position: str, least_s: float = 10.0) -> DataFrame:
+    """Rows whose saved position lies beyond the first seconds."""
+    return rows.where(F.col(position) > least_s)
 
 
 def byte_length_between(rows: DataFrame, text: str, low: int, high: int) -> DataFrame:

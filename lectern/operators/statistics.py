@@ -84,6 +84,24 @@ def best_runs(stats: DataFrame, name: str) -> DataFrame:
     return stats.agg(F.array(*picks).alias("__p")).select(F.inline("__p"))
 
 
+def long_totals(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of long sentences cut into chunks (keys, sentence, order, synth_ms, duration_ms, text_len): the mean time to a
+    sentence's first chunk, sums, characters a second of synthesis and the real-time factor."""
+    one = rows.groupBy(*keys, "sentence").agg(F.min_by("synth_ms", F.struct(*order)).alias("first_ms"), F.sum("synth_ms").alias("s"), F.sum("duration_ms").alias("a"), F.sum("text_len").alias("c"))
+    g = one.groupBy(*keys).agg(F.count("*").alias("sentences"), F.avg("first_ms").alias("avg_first_ms"), F.sum("s").alias("synth_ms"), F.sum("a").alias("audio_ms"), F.sum("c").alias("chars"))
+    return g.withColumn("realtime_factor", ratio(F.col("audio_ms"), F.col("synth_ms"))).withColumn("chars_per_s", ratio(F.col("chars") * 1000, F.col("synth_ms")))
+
+
+def by_strategy(rows: DataFrame, names: list[str], sentence: str = "sentence", strategy: str = "strategy", value: str = "synth_ms") -> DataFrame:
+    """A row for each sentence and a column for each named strategy: the sum of a value, NULL where it did not run."""
+    return rows.groupBy(sentence).pivot(strategy, names).agg(F.sum(value))
+
+
+def table_count(rows: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """How many rows there are, in all or for each key; 0 over nothing."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")) if keys else rows.agg(F.count("*").alias("n"))
+
+
 def engine_summary(rows: DataFrame, key: str = "engine") -> DataFrame:
     """Totals of device runs (synth_ms, wav_ms, wav_bytes, error); rt is synthesis over audio, NULL where either is 0."""
     ok = F.col("error").isNull()

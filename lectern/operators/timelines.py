@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from heapq import heappop, heappush
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -146,64 +147,48 @@ def segment_sentences(rows: DataFrame) -> DataFrame:
 
 
 def simulate_playback(rows: DataFrame, servers: int = 1, depth: int = 1) -> DataFrame:
-    """Event simulation of synthesis ahead of playback, per strategy: cold start, wall time, gaps.
-
-    rows: strategy, seq, synth_ms, duration_ms. Up to servers * depth sentences are in work; with several servers new
-    work starts when the earliest in work ends. The buffer drains while the next result is awaited."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        synth, audio = pdf["synth_ms"].tolist(), pdf["duration_ms"].tolist()
-        clock = buffer = 0.0
-        work: dict[int, float] = {}
-        ready: set[int] = set()
-        todo = play = 0
-        first, gap_list, n = None, [], len(synth)
-
-        def launch() -> None:
-            nonlocal todo
-            while len(work) < servers * depth and todo < n:
-                begin = max(clock, min(work.values())) if work and servers > 1 else clock
-                work[todo] = begin + synth[todo]
-                todo += 1
-
-        def gather() -> None:
-            for i in [i for i, t in work.items() if t <= clock]:
-                ready.add(i)
-                del work[i]
-
-        launch()
-        while play < n and work:
-            event = min(work.values())
-            buffer = max(0.0, buffer - (event - clock))
-            clock = event
-            gather()
-            launch()
-            while play in ready:
-                first = clock if first is None else first
-                buffer += audio[play]
-                ready.discard(play)
-                play += 1
-            if buffer <= 0 and play < n and play in work:
-                gap_list.append(work[play] - clock)
-                clock = work[play]
-                buffer = 0.0
-                gather()
-                launch()
-        return pd.DataFrame([{"strategy": pdf["strategy"].iloc[0], "sentences": n, "audio_ms": float(sum(audio)), "cold_start_ms": float(first or 0), "wall_ms": clock, "gap_ms": float(sum(gap_list)), "gaps": len(gap_list), "max_gap_ms": float(max(gap_list, default=0))}])
-
-    return rows.select("strategy", "seq", F.col("synth_ms").cast("double"), F.col("duration_ms").cast("double")).groupBy("strategy").applyInPandas(
-        run, "strategy string, sentences long, audio_ms double, cold_start_ms double, wall_ms double, gap_ms double, gaps long, max_gap_ms double"
-    )
+    """What a listener waits for when sentences are synthesised ahead of playback, per strategy.
+
+    rows: strategy, seq, synth_ms, duration_ms. servers * depth sentences may be in work; the next one, in order, begins
+    when one of them is done. A sentence can be heard once it and all before it are done, and plays when the one before
+    has played; a gap is how long the silence before it lasts. cold_start_ms is the silence before the first; wall_ms is
+    when the last one can be heard. A fold carries the ends of the work in hand and a few sums, whatever a key's rows."""
+    slots = max(1, servers * depth)
+    names = ["sentences", "audio_ms", "cold_start_ms", "wall_ms", "gap_ms", "gaps", "max_gap_ms"]
+
+    def step(state, row):
+        busy, heard, silent_at, totals = state
+        begin = heappop(busy) if len(busy) >= slots else 0.0
+        done = begin + (row["synth_ms"] or 0.0)
+        heappush(busy, done)
+        heard = max(heard, done)
+        n, audio, cold, _, waited, breaks, longest = totals
+        gap = heard - silent_at if n and heard > silent_at else 0.0
+        totals = (n + 1, audio + (row["duration_ms"] or 0.0), heard if n == 0 else cold, heard, waited + gap, breaks + (gap > 0), max(longest, gap))
+        silent_at = max(heard, silent_at) + (row["duration_ms"] or 0.0)
+        out = [dict(zip(names, totals)) | {"strategy": row["strategy"]}] if row["__last"] else []
+        return (busy, heard, silent_at, totals), out
+
+    given = rows.select("strategy", "seq", F.col("synth_ms").cast("double"), F.col("duration_ms").cast("double"))
+    last = F.lead("seq").over(W.partitionBy("strategy").orderBy("seq")).isNull()
+    kind = T.StructType([given.schema["strategy"], *[T.StructField(n, T.LongType() if n in ("sentences", "gaps") else T.DoubleType()) for n in names]])
+    return ordered_fold(given.withColumn("__last", last), "strategy", ["seq"], kind, lambda: ([], 0.0, 0.0, (0, 0.0, 0.0, 0.0, 0.0, 0, 0.0)), step)
 
 
 def chapter_progress(segments: DataFrame, points: DataFrame, key: list[str]) -> DataFrame:
     """Position inside a chapter of several segments (key, ord, start_time, dur) for points (key, cur_ord, t): segments
-    before in full, the current one clamped to its length."""
-    j = points.join(segments, key)
-    part = F.when(F.col("ord") < F.col("cur_ord"), F.col("dur")).when(F.col("ord") == F.col("cur_ord"), F.greatest(F.lit(0.0), F.least(F.col("t") - F.col("start_time"), F.col("dur")))).otherwise(0.0)
-    g = j.groupBy(*points.columns).agg(F.sum(part).alias("__pos"), F.sum("dur").alias("total"))
-    return g.select(*points.columns, F.greatest(F.lit(0.0), F.least("__pos", "total")).alias("position"), "total")
+    before in full, the current one clamped to its length. Segments carry their running sums, so a point meets its own
+    segment and its key's total, never all segments of the key."""
+    over = W.partitionBy(*key).orderBy("ord")
+    sums = segments.groupBy(*key, "ord").agg(F.sum("dur").alias("dur"), F.min("start_time").alias("start_time"))
+    sums = sums.withColumn("__before", F.coalesce(F.sum("dur").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
+    from lectern.operators.lookups import asof
+
+    own = asof(points, sums.withColumn("__ord", F.col("ord")), key, "cur_ord", "ord", ["__ord", "__before", "dur", "start_time"])
+    total = sums.groupBy(*key).agg(F.sum("dur").alias("total"))
+    inside = F.when(F.col("__ord") == F.col("cur_ord"), F.greatest(F.lit(0.0), F.least(F.col("t") - F.col("start_time"), F.col("dur")))).otherwise(F.col("dur"))
+    pos = F.coalesce(F.col("__before") + inside, F.lit(0.0))
+    return own.join(total, key).select(*points.columns, F.greatest(F.lit(0.0), F.least(pos, F.col("total"))).alias("position"), "total")
 
 
 def shuffled(rows: DataFrame, seed: int) -> DataFrame:

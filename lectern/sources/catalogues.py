@@ -31,6 +31,31 @@ def library_pages(pages: DataFrame) -> DataFrame:
     return p.select("page", "pos", "r.id", F.col("r.media.metadata.title").alias("title"), F.col("r.media.metadata.authorName").alias("author"), F.col("r.media.metadata.narratorName").alias("narrator"), F.col("r.media.duration").alias("duration"))
 
 
+#: Response shapes of the other scans of a server.
+ITEM = "struct<id:string,libraryId:string,media:struct<metadata:struct<title:string,authorName:string>,duration:double,audioFiles:array<struct<index:int,ino:string,duration:double>>>>"
+PROGRESS = "struct<id:string,libraryItemId:string,duration:double,progress:double,currentTime:double,isFinished:boolean,lastUpdate:bigint>"
+SESSIONS = "struct<sessions:array<struct<id:string,libraryItemId:string,currentTime:double,timeListening:double>>,total:bigint>"
+
+
+def item_files(items: DataFrame) -> DataFrame:
+    """(id, title, duration, index, ino, file_duration) of expanded items (body), a row for each audio file."""
+    i = items.select(F.from_json("body", ITEM).alias("i")).where("i.id IS NOT NULL")
+    f = i.select("i.id", F.col("i.media.metadata.title").alias("title"), F.col("i.media.duration").alias("duration"), F.explode_outer("i.media.audioFiles").alias("f"))
+    return f.select("id", "title", "duration", "f.index", "f.ino", F.col("f.duration").alias("file_duration"))
+
+
+def user_progress(rows: DataFrame) -> DataFrame:
+    """(item_id, position, duration, is_finished, ts) of progress responses (body); what is no progress gives no row."""
+    p = rows.select(F.from_json("body", PROGRESS).alias("p")).where("p.libraryItemId IS NOT NULL")
+    return p.select(F.col("p.libraryItemId").alias("item_id"), F.coalesce("p.currentTime", F.lit(0.0)).alias("position"), "p.duration", F.coalesce("p.isFinished", F.lit(False)).alias("is_finished"), F.col("p.lastUpdate").alias("ts"))
+
+
+def open_sessions(rows: DataFrame) -> DataFrame:
+    """(session_id, item_id, position, listened_s) of session lists (body)."""
+    s = rows.select(F.explode(F.from_json("body", SESSIONS)["sessions"]).alias("s"))
+    return s.select(F.col("s.id").alias("session_id"), F.col("s.libraryItemId").alias("item_id"), F.col("s.currentTime").alias("position"), F.col("s.timeListening").alias("listened_s"))
+
+
 def audio_listing(spark: SparkSession, path: str) -> DataFrame:
     """(path, name, bytes, modified) of audio files below a folder, by lower-cased name; contents are not read."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -68,15 +93,18 @@ def phoneme_durations(texts: DataFrame) -> DataFrame:
 
 
 def devices(lines: DataFrame) -> DataFrame:
-    """Devices of an object dump (line_no, line): an object path opens a device, the lines after set its fields."""
+    """Devices of object dumps (dump, line_no, line): an object path opens a device, the lines after set its fields. A
+    table without the column `dump` is one dump."""
+    if "dump" not in lines.columns:
+        return devices(lines.withColumn("dump", F.lit(0))).drop("dump")
     path = F.regexp_extract("line", r'object path "([^"]*dev_[^"]*)"', 1)
-    l = lines.withColumn("path", F.last(F.when(path != "", path), ignorenulls=True).over(W.orderBy("line_no"))).where("path IS NOT NULL")  # one short dump
+    l = lines.withColumn("path", F.last(F.when(path != "", path), ignorenulls=True).over(W.partitionBy("dump").orderBy("line_no"))).where("path IS NOT NULL")
     field = F.lower(F.regexp_extract("line", r'string "(Name|Paired|Connected|Icon|Address)"', 1))
     l = l.withColumn("field", F.when(field != "", field))
-    value = F.regexp_extract(F.lead("line").over(W.partitionBy("path").orderBy("line_no")), r'variant\s+(?:string "([^"]*)"|boolean (\w+))', 0)
+    value = F.regexp_extract(F.lead("line").over(W.partitionBy("dump", "path").orderBy("line_no")), r'variant\s+(?:string "([^"]*)"|boolean (\w+))', 0)
     l = l.withColumn("value", F.regexp_replace(value, r'^variant\s+(string "|boolean )|"$', "")).where("field IS NOT NULL")
     pick = lambda f: F.max(F.when(F.col("field") == f, F.col("value")))
-    return l.groupBy("path").agg(pick("address").alias("mac"), pick("name").alias("name"), (pick("paired") == "true").alias("paired"), (pick("connected") == "true").alias("connected"), pick("icon").alias("icon"))
+    return l.groupBy("dump", "path").agg(pick("address").alias("mac"), pick("name").alias("name"), (pick("paired") == "true").alias("paired"), (pick("connected") == "true").alias("connected"), pick("icon").alias("icon"))
 
 
 def log_tail(lines: DataFrame, n: int = 120) -> DataFrame:
