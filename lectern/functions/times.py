@@ -106,3 +106,13 @@ def factors(speed: float, low: float = 0.5, high: float = 2.0) -> list[float]:
         out.append(low)
         speed /= low
     return [*out, speed]
+
+
+def speed_factors(speed: Column, low: float = 0.5, high: float = 2.0) -> Column:
+    """The same as factors, for a column of speeds: as often the limit as the speed lies beyond its powers, then the rest."""
+    steps = F.sequence(F.lit(1), F.lit(64))
+    over = F.size(F.filter(steps, lambda i: speed > F.pow(F.lit(high), i)))
+    under = F.size(F.filter(steps, lambda i: speed < F.pow(F.lit(low), i)))
+    rest = speed / F.pow(F.lit(high), over) / F.pow(F.lit(low), under)
+    whole = F.concat(F.array_repeat(F.lit(high), over), F.array_repeat(F.lit(low), under), F.array(rest))
+    return F.when(F.abs(speed - 1) < 0.01, F.array().cast("array<double>")).otherwise(whole)

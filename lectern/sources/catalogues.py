@@ -62,10 +62,10 @@ def audio_listing(spark: SparkSession, path: str) -> DataFrame:
     return audio_files(f.select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified")))
 
 
-def bench_results(spark: SparkSession, path: str) -> DataFrame:
+def bench_results(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """(strategy, seq, synth_ms, duration_ms, text_len) of result files with a per_sentence list."""
     schema = "strategy string, per_sentence array<struct<synth_ms:double,duration_ms:double,text_len:bigint,mem_kb:bigint,batch_id:bigint>>"
-    return json_table(spark, path, schema).select("strategy", F.posexplode("per_sentence").alias("seq", "r")).select("strategy", "seq", "r.*")
+    return json_table(spark, path, schema, multiline).select("strategy", F.posexplode("per_sentence").alias("seq", "r")).select("strategy", "seq", "r.*")
 
 
 def voices(spark: SparkSession, cached: str, built_in: str) -> DataFrame:
