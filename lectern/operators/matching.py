@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lectern.functions.text import collapse_space, match_form, words
 
 PREFIX, NEEDLE, BONUS = 40, 80, 200
+#: The score of a known fragment, and more places than a book has entries; places are not negative.
+KNOWN, PLACES = 1_000_000, 1 << 40
 
 
 def match_score(entry: Column, selection: Column) -> Column:
@@ -35,8 +37,12 @@ def best_match(selections: DataFrame, entries: DataFrame, book: str = "book") ->
     j = s.where("sel <> '' OR frag IS NOT NULL").join(e, book)
     by_id = F.coalesce(F.col("frag") == F.col("entry_frag"), F.lit(False))
     usable = by_id | (F.coalesce("entry", F.lit("")) != "") & (F.col("sel") != "")
-    score = F.when(by_id, 1_000_000).otherwise(match_score(F.col("entry"), F.col("sel")))
-    return j.where(usable).groupBy(book, "sel_id").agg(F.max(F.struct(score.alias("score"), (-F.col("seq")).alias("n"))).alias("b")).select(book, "sel_id", (-F.col("b.n")).alias("seq"), F.when(F.col("b.score") == 1_000_000, None).otherwise(F.col("b.score")).alias("score"))
+    score = F.when(by_id, KNOWN).otherwise(match_score(F.col("entry"), F.col("sel"))).cast("long")
+    # score and place in one number, the earlier place the greater: the maximum is then a hash aggregate, not a sort
+    best = j.where(usable).groupBy(book, "sel_id").agg(F.max(score * PLACES - F.col("seq")).alias("b"))
+    top = F.expr(f"-((-b) div {PLACES}L)") + F.when(F.expr(f"b > 0 AND b % {PLACES}L > 0"), 1).otherwise(0)
+    found = best.withColumn("top", top)
+    return found.select(book, "sel_id", (F.col("top") * PLACES - F.col("b")).alias("seq"), F.when(F.col("top") != KNOWN, F.col("top").cast("int")).alias("score"))
 
 
 def whole_match(selections: DataFrame, entries: DataFrame, book: str = "book") -> DataFrame:

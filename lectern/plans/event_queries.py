@@ -178,12 +178,6 @@ def adaptive_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timelines.fold_groups(samples(spark, sf_dir), "strategy", ["seq"], "text_len", 500)
 
 
-@query()
-def capped_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is played as one: durations up to 30 s, with a pause after the check."""
-    return timelines.fold_groups(samples(spark, sf_dir), "strategy", ["seq"], "duration_ms", 30000, pause=F.lit(300), restart=False)
-
-
 @query(f"""WITH {SQL_SAMPLES}, t AS (SELECT strategy, seq, words, 1000003::BIGINT AS total, sum(words) OVER (PARTITION BY strategy ORDER BY seq) AS upto, sum(words) OVER (PARTITION BY strategy) AS whole, row_number() OVER (PARTITION BY strategy ORDER BY seq DESC) AS back FROM m)
 SELECT strategy, seq, (floor(floor(total * (upto - words) / whole) / 2) * 2)::BIGINT AS start_byte, CASE WHEN back = 1 THEN total ELSE (floor(floor(total * upto / whole) / 2) * 2)::BIGINT END AS end_byte FROM t""")
 def cut_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:

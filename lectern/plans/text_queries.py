@@ -120,13 +120,21 @@ def turn_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_rows(c, "turn_id")
 
 
-@query()
+SQL_OFFSETS = f"""{sql_normal('text', 'documents', 'doc_id')}, {sql_sentences('doc_id')},
+sp2 AS (SELECT s.doc_id, any_value(n.t) AS t, list(s.text ORDER BY idx) AS parts FROM s JOIN n USING (doc_id) GROUP BY s.doc_id),
+so AS (SELECT doc_id, parts, list_reduce(list_prepend({{'t': '', 'at': 1::BIGINT, 'o': []::STRUCT(s BIGINT, e BIGINT)[]}}, list_transform(parts, lambda x: {{'t': x, 'at': 1::BIGINT, 'o': []::STRUCT(s BIGINT, e BIGINT)[]}})),
+  lambda a, x: CASE WHEN strpos(substr(t, a.at), x.t) > 0 THEN {{'t': '', 'at': a.at + strpos(substr(t, a.at), x.t) - 1 + length(x.t), 'o': list_append(a.o, {{'s': a.at + strpos(substr(t, a.at), x.t) - 1, 'e': a.at + strpos(substr(t, a.at), x.t) - 2 + length(x.t)}})}}
+  ELSE {{'t': '', 'at': a.at, 'o': list_append(a.o, {{'s': 0::BIGINT, 'e': 0::BIGINT}})}} END).o AS o FROM sp2),
+off AS (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS idx, unnest(parts) AS text, unnest(o).s AS start_pos, unnest(o).e AS end_pos FROM so)"""
+
+
+@query(f"WITH {SQL_OFFSETS} SELECT doc_id, idx, text, start_pos, end_pos FROM off")
 def sentence_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences with their character positions in the normalized text."""
     docs = read(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("t"))
     s = docs.withColumn("parts", F.transform(text.sentences(F.col("t")), lambda x: x["text"]))
     both = s.select("doc_id", F.posexplode(F.arrays_zip("parts", text.locate_all(F.col("t"), F.col("parts")).alias("pos"))).alias("i", "z"))
-    return both.select("doc_id", (F.col("i") + 1).cast("long").alias("idx"), F.col("z.parts").alias("text"), F.col("z.pos.start_pos").alias("start_pos"), F.col("z.pos.end_pos").alias("end_pos"))
+    return both.select("doc_id", (F.col("i") + 1).cast("long").alias("idx"), F.col("z.parts").alias("text"), F.col("z.pos.start_pos").cast("long").alias("start_pos"), F.col("z.pos.end_pos").cast("long").alias("end_pos"))
 
 
 @query(f"WITH {sql_words('text', 'documents', 'doc_id')} SELECT * FROM w")
@@ -179,7 +187,19 @@ def merged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", "idx", text.merge_short(text.clauses(F.col("text"))).alias("chunks"))
 
 
-@query()
+SQL_LONG = rf"""{sql_normal('text', 'documents', 'doc_id')}, {sql_sentences('doc_id')}, {SQL_CLAUSES},
+mm AS (SELECT doc_id, idx, list_reduce(list_prepend([]::VARCHAR[], list_transform(p, lambda x: [x])), lambda a, x: CASE WHEN strlen(x[1]) < 80 AND len(a) > 0 THEN list_append(a[1:len(a) - 1], a[len(a)] || ' ' || x[1]) ELSE list_append(a, x[1]) END) AS p FROM c),
+mf AS (SELECT s.doc_id, s.idx, end_type, CASE WHEN strlen(text) <= 300 THEN [text] WHEN len(p) > 1 AND strlen(p[1]) < 80 THEN list_prepend(p[1] || ' ' || p[2], p[3:]) ELSE p END AS chunks FROM s JOIN mm USING (doc_id, idx)),
+mx AS (SELECT doc_id, idx, end_type, unnest(chunks) AS x, unnest(range(len(chunks))) AS k, len(chunks) AS nk FROM mf),
+mw AS (SELECT *, string_split(x, ' ') AS w FROM mx),
+mr AS (SELECT doc_id, idx, end_type, k, CASE WHEN strlen(x) <= 300 THEN [x] ELSE list_reduce(list_transform(range(1, len(w) + 1), lambda i: {{'o': [w[i]], 'z': strlen(w[i]), 'f': strlen(array_to_string(w[i:], ' ')) <= 300}}),
+  lambda a, y: CASE WHEN a.f OR a.z + 1 + y.z <= 299 THEN {{'o': list_append(a.o[1:len(a.o) - 1], a.o[len(a.o)] || ' ' || y.o[1]), 'z': a.z + 1 + y.z, 'f': a.f}} ELSE {{'o': list_append(a.o, y.o[1]), 'z': y.z, 'f': y.f}} END).o END AS o FROM mw),
+mj AS (SELECT doc_id, idx, end_type, k, CASE WHEN len(o) > 1 AND strlen(o[len(o)]) < 80 THEN list_append(o[1:len(o) - 2], o[len(o) - 1] || ' ' || o[len(o)]) ELSE o END AS o FROM mr),
+ma AS (SELECT doc_id, idx, any_value(end_type) AS end_type, flatten(list(o ORDER BY k)) AS o FROM mj GROUP BY doc_id, idx),
+lc AS (SELECT doc_id, idx, unnest(range(1, len(o) + 1))::INT AS part, unnest(o) AS chunk, end_type AS e, len(o) AS no FROM ma)"""
+
+
+@query(f"WITH {SQL_LONG} SELECT doc_id, idx, part, chunk, CASE WHEN part = no THEN e ELSE 'sentence' END AS end_type FROM lc")
 def long_sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences over 300 bytes as chunks; the last chunk inherits how the sentence ends."""
     s = sentence_rows(read(spark, sf_dir, "documents"))
@@ -188,7 +208,7 @@ def long_sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("doc_id", "idx", (F.col("part") + 1).alias("part"), "chunk", F.when(F.col("part") == F.col("n") - 1, F.col("end_type")).otherwise("sentence").alias("end_type"))
 
 
-@query()
+@query(f"WITH {SQL_LONG} SELECT doc_id, idx, part AS chunk_index, chunk, CASE WHEN part = no THEN e ELSE 'sentence' END AS end_type FROM lc")
 def long_sentence_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same split by a lateral join with the table function."""
     spark.udtf.register("lectern_long_split", text.LongSplit)
@@ -196,7 +216,9 @@ def long_sentence_udtf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT s.doc_id, s.idx, c.chunk_index, c.chunk, c.end_type FROM lectern_sentences s, LATERAL lectern_long_split(s.text, s.end_type, 300) c")
 
 
-@query()
+@query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents),
+r AS (SELECT doc_id, list_reduce(list_transform(w, lambda x: {'o': [x], 'z': strlen(x)}), lambda a, x: CASE WHEN a.z + 1 + x.z <= 200 THEN {'o': list_append(a.o[1:len(a.o) - 1], a.o[len(a.o)] || ' ' || x.o[1]), 'z': a.z + 1 + x.z} ELSE {'o': list_append(a.o, x.o[1]), 'z': x.z} END).o AS o FROM w WHERE len(w) > 0)
+SELECT doc_id, unnest(range(len(o)))::INT AS part, unnest(o) AS line FROM r""")
 def wrapped_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return docs.select("doc_id", F.posexplode(text.wrapped(F.col("text"), F.lit(200))).alias("part", "line"))
@@ -281,7 +303,10 @@ def ordinal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.by_ordinal(word_rows(docs).drop("clean_text"), s, ["doc_id"], ["idx"], ["k"], ["sentence"])
 
 
-@query()
+@query(f"""WITH {SQL_OFFSETS}, wq AS (SELECT doc_id, string_split(replace(t, chr(10), ' '), ' ') AS w FROM n), wx2 AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM wq),
+wp AS (SELECT doc_id, i, word, (sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1)::BIGINT AS end_pos FROM wx2),
+wz AS (SELECT doc_id, i, word, end_pos - length(word) + 1 AS start_pos, end_pos FROM wp WHERE word <> '')
+SELECT wz.doc_id, i::INT AS word_index, word, wz.end_pos, wz.start_pos, min(idx) AS sentence_index FROM wz LEFT JOIN off ON off.doc_id = wz.doc_id AND off.start_pos <= wz.start_pos AND wz.end_pos <= off.end_pos GROUP BY ALL""")
 def words_to_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each word of a document with the sentence whose positions hold it."""
     docs = read(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("text"))
@@ -319,34 +344,12 @@ def scored_match_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.whole_match(sel, entries, "doc_id").withColumn("score", F.col("score").cast("long"))
 
 
-@query()
-def cascade_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each sentence of the normalized text stands in the text as it was."""
-    docs = read(spark, sf_dir, "documents")
-    s = sentence_rows(docs).join(docs.select("doc_id", F.col("text").alias("page")), "doc_id")
-    hit = matching.cascade(F.col("page"), F.col("text"))
-    return s.withColumn("hit", hit).select("doc_id", "idx", "hit.pos", "hit.how")
-
-
-@query()
-def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links of each page in order, with collapsed relative paths."""
-    p = read(spark, sf_dir, "pages")
-    h = p.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), F.lit(1))).alias("seq", "href"))
-    return h.withColumn("path", paths.collapse_path(F.col("href")))
-
-
 @query(r"""SELECT doc_id, regexp_replace(translate(text, chr(10) || chr(13), '  '), '\x{2026}|\.\.+', ', ', 'g') AS speech, regexp_replace(regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', ''), '>', ''), '([,;:])\s', '\1 <break time="150ms"/> ', 'g'), '([\x{2013}\x{2014}])', '\1<break time="150ms"/>', 'g') AS ssml FROM documents""")
 def speech_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("text")
     return read(spark, sf_dir, "documents").select("doc_id", text.speech_text(c).alias("speech"), text.clause_breaks(c).alias("ssml"))
 
 
-@query()
-def windows_1252(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.cp1252(F.col("text"))).alias("md5"))
-
-
 @query("SELECT doc_id, CASE lang WHEN 'en' THEN 'en-US' WHEN 'zh' THEN 'zh-CN' WHEN 'ja' THEN 'ja-JP' WHEN 'ko' THEN 'ko-KR' ELSE lang END AS speak FROM documents")
 def chunk_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", text.chunk_language(F.col("text"), F.col("lang")).alias("speak"))
