@@ -3,15 +3,12 @@ them back through the source; the DuckDB SQL beside it takes the same rows from
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import paths
 from lectern.operators import lookups, ordering, progress, statistics, timelines
-from lectern.plans.text_queries import read
+from lectern.plans.text_queries import read, scratch
 from lectern.sources import audio, catalogues, chapters, markup, sinks
 
 QUERIES: dict = {}
@@ -28,16 +25,6 @@ def query(sql: str | None = None):
     return keep
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir. Only a local session may lack that setting."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="lectern-")
-    return f"{root.rstrip('/')}/lectern-{tag}-{uuid.uuid4().hex}"
-
-
 def body(rows: DataFrame, key: Column, line: Column, order: list[str], *, head: str = "", tail: str = "", sep: str = "\n", name: str = "path") -> DataFrame:
     """(name, body): the lines of each key in order, joined: one file. A file is as long as its key's rows."""
     lines = F.array_sort(F.collect_list(F.struct(*order, line.alias("__line"))))

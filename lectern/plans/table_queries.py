@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from lectern.functions import paths, text, times
 from lectern.operators import lookups, matching, ordering, progress, statistics, timelines
 from lectern.operators.strategies import Strategies
-from lectern.plans.book_queries import say, scratch
+from lectern.plans.book_queries import say
 from lectern.plans.event_queries import SQL_SAMPLES, samples
-from lectern.plans.text_queries import TRIM, read, sentence_rows, sql_normal, sql_sentences
+from lectern.plans.text_queries import TRIM, read, scratch, sentence_rows, sql_normal, sql_sentences
 from lectern.streaming import progress as streams
 
 QUERIES: dict = {}

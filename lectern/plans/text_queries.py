@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -27,6 +30,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir. Only a local session may lack that setting."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="lectern-")
+    return f"{root.rstrip('/')}/lectern-{tag}-{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame, tag: str) -> DataFrame:
+    """Write rows that a plan reads several times, and reread them."""
+    path = scratch(rows.sparkSession, tag)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 # DuckDB forms of the column functions, for the oracles.
 P = r"!-/:-@\[-`{-~"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -87,11 +107,17 @@ SQL_TIMED = rf"""{sql_words('text', 'documents', 'doc_id')},
 wd AS (SELECT doc_id, idx, floor({sql_syllables('clean_text')} * 200)::BIGINT AS d FROM w),
 tw AS (SELECT doc_id, idx, coalesce(sum(d + 50) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_time, d FROM wd),
 timed AS (SELECT doc_id, idx, start_time, start_time + d AS end_time FROM tw)"""
-SQL_POINTS = "pt AS (SELECT doc_id, unnest(range(-1000, 60001, 6100)) AS t FROM documents)"
+SQL_POINTS = """pe AS (SELECT d.doc_id, coalesce(max(end_time), 0) AS e FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN timed ON timed.doc_id = d.doc_id GROUP BY d.doc_id),
+pt AS (SELECT doc_id, unnest(range(11)) * ((e + 6000) // 10) - 1000 AS t FROM pe)"""
 
 
-def points(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.explode(F.sequence(*[F.lit(x).cast("long") for x in (-1000, 60000, 6100)])).alias("t"))
+def timed_and_points(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The timed words, written once, as index; and eleven times of each document, from a second before its words to some
+    seconds past their end."""
+    timed = stored(timed_words(docs), "timed").withColumnRenamed("idx", "index")
+    ends = timed.groupBy("doc_id").agg(F.max("end_time").alias("e"))
+    at = docs.select("doc_id").distinct().join(ends, "doc_id", "left").withColumn("step", F.expr("(coalesce(e, 0) + 6000) div 10"))
+    return timed, stored(at.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("k"), "step").select("doc_id", (F.col("k") * F.col("step") - 1000).alias("t")), "points")
 
 
 @query(rf"""WITH {sql_normal('text', 'documents', 'doc_id')}, {sql_sentences('doc_id')},
@@ -274,24 +300,24 @@ def document_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {SQL_TIMED}, {SQL_POINTS} SELECT pt.doc_id, t, min(timed.idx) AS index FROM pt LEFT JOIN timed ON timed.doc_id = pt.doc_id AND t >= start_time AND t < end_time GROUP BY pt.doc_id, t""")
 def word_at_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return lookups.at_time(points(docs), timed_words(docs).withColumnRenamed("idx", "index"), "doc_id", "t", width=5000).select("doc_id", "t", "index")
+    timed, points = timed_and_points(read(spark, sf_dir, "documents"))
+    return lookups.at_time(points, timed, "doc_id", "t", width=5000).select("doc_id", "t", "index")
 
 
 @query(f"""WITH {SQL_TIMED}, {SQL_POINTS}, f AS (SELECT doc_id, min_by(idx, start_time) AS i0 FROM timed GROUP BY doc_id),
 a AS (SELECT pt.doc_id, t, timed.idx FROM pt ASOF LEFT JOIN timed ON pt.doc_id = timed.doc_id AND t >= start_time)
 SELECT a.doc_id, t, coalesce(idx, i0) AS index FROM a LEFT JOIN f ON f.doc_id = a.doc_id""")
 def sentence_asof_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return lookups.active_sentence(points(docs), timed_words(docs).withColumnRenamed("idx", "index"), "doc_id", "t", width=20000)
+    timed, points = timed_and_points(read(spark, sf_dir, "documents"))
+    return lookups.active_sentence(points, timed, "doc_id", "t", width=20000)
 
 
 @query(f"""WITH {SQL_TIMED}, {SQL_POINTS},
 d AS (SELECT pt.doc_id, t, idx, CASE WHEN t >= start_time AND t < end_time THEN -1 ELSE least(abs(t - start_time), abs(t - end_time)) END AS dist FROM pt LEFT JOIN timed ON timed.doc_id = pt.doc_id)
 SELECT doc_id, t, arg_min(idx, (dist, idx)) AS index FROM d GROUP BY doc_id, t""")
 def nearest_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return lookups.nearest_word(points(docs), timed_words(docs).withColumnRenamed("idx", "index"), "doc_id", "t", width=20000)
+    timed, points = timed_and_points(read(spark, sf_dir, "documents"))
+    return lookups.nearest_word(points, timed, "doc_id", "t", width=20000)
 
 
 @query(f"""WITH {sql_normal('text', 'documents', 'doc_id')}, {sql_sentences('doc_id')}, {sql_words('t', 'n', 'doc_id')},
