@@ -174,3 +174,55 @@ def test_many_blocks_cost_blocks_not_blocks_times_batches(spark):
     assert found[-1] == (40, 40, ["1"]) and not any(k for _, k, _ in found[:-1])
     assert sum(sum(a.nbytes for a in decontamination.open_block(f).a.values()) for f in files) < 100 * len(words)
     assert np.all([len(decontamination.open_block(f).lengths) == 1 for f in files])
+
+
+def many_vectors(n=8000, dim=32, seed=4):
+    """One label: half in groups of near copies of two to forty, half alone."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    while len(rows) < n // 2:
+        c = rng.standard_normal(dim)
+        rows += [c + 0.1 * rng.standard_normal(dim) for _ in range(int(rng.integers(2, 41)))]
+    rows += [rng.standard_normal(dim) for _ in range(n - len(rows))]
+    return np.array(rows)[rng.permutation(len(rows))]
+
+
+def test_recall_where_clusters_are_many_shards(spark, monkeypatch):
+    """Eight centroids and shards of 100: a first cluster holds some twenty shards, as at millions of vectors a label."""
+    monkeypatch.setattr(embeddings, "CENTROIDS", 8)
+    monkeypatch.setattr(embeddings, "SHARD_ROWS", 100)
+    monkeypatch.setattr(embeddings, "CHUNK", 3000)
+    x = many_vectors()
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= embeddings.LEAST_COSINE).sum(1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert want.sum() > 1000 and (found <= want).all()
+    assert found.sum() >= 0.95 * want.sum()
+
+
+def test_sets_and_bitmaps_of_visited_nodes_agree(monkeypatch):
+    x = many_vectors(600, 16).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = np.full((len(x), embeddings.DEGREE), -1, np.int64)
+    for i, a in enumerate(embeddings.build_graph(x)):
+        table[i, : len(a)] = a[: embeddings.DEGREE]
+    start = np.zeros((len(x), 1), np.int64)
+    a = embeddings.beam_search(x, table, start, x, in_range=0.98)
+    monkeypatch.setattr(embeddings, "VISITED", 0)
+    b = embeddings.beam_search(x, table, start, x, in_range=0.98)
+    assert (a[0] == b[0]).all() and all((p == q).all() for p, q in zip(a[1], b[1]))
+
+
+def test_doubles_are_not_rounded(spark):
+    """A cosine that single precision lifts over the threshold, and components beyond its range."""
+    c = 0.98 - 1e-9
+    rows = [(1, [1.0, 0.0], 1), (2, [c, float(np.sqrt(1 - c * c))], 1), (3, [1e300, 0.0], 2), (4, [2e300, 1e290], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(tuple(r) for r in embeddings.near_duplicates(df).collect()) == [(1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (4, 1, 3, False)]
+
+
+def test_recall_at_sf01(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    assert embeddings.audit(df, embeddings.near_duplicates(df)) >= 0.9
