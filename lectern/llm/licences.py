@@ -1,10 +1,11 @@
 """Operator 8: licence scan by diagonal voting.
 
-Templates are short licence notices. All rolling word 3-gram hashes of a document that can be a template's (a test
-against the few hundred template hashes) join the templates' positions in Spark. Hits are counted by diagonal, the
-document position less the template position; neighbouring diagonals, that is a notice with a few words put in or left
-out, are merged, and each candidate is verified by the longest common subsequence of its words and the template's. Where
-verified spans overlap, the one with most words in common stays.
+Templates are licence notices. All rolling word 3-gram hashes of the documents join the templates' positions in Spark.
+Hits are counted by diagonal, the document position less the template position. The votes of neighbouring diagonals, that
+is of a notice with a few words put in or left out, are added up over at most `WIDTH` diagonals from each one on; where
+they are enough, the span is verified by the longest common subsequence of its words and the template's. A span's share is
+that length over the longer of the template and the words from its first to its last match, so scattered words do not make
+a notice. Where verified spans overlap, the one with most words in common stays.
 
 Results in special cases. Null and empty texts have no words, no places, empty labels and score 0. Rows that repeat a
 doc_id are scanned each for itself, and a null doc_id stays null. An empty table gives no rows. Other columns are not
@@ -27,7 +28,7 @@ from pyspark.sql import Window as W
 from lectern.llm import shared
 from lectern.llm.decontamination import words_of
 
-GRAM, DIAGONAL_GAP, LEAST_SHARE = 3, 3, 0.8
+GRAM, WIDTH, LEAST_SHARE = 3, 4, 0.8
 #: The contract's phrases and labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Public licence notices, as their licences word them.
@@ -56,6 +57,25 @@ TEMPLATES = [
     ("cc-by-nd", "licensed under CC BY-ND 4.0"),
     ("cc0", "To the extent possible under law, the person has waived all copyright and related or neighboring rights to this work"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("mit", "is MIT licensed"),
+    ("mit", "SPDX-License-Identifier: MIT"),
+    ("apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("gpl-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    ("gpl-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    ("lgpl", "SPDX-License-Identifier: LGPL-2.1"),
+    ("agpl", "SPDX-License-Identifier: AGPL-3.0"),
+    ("bsd", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("bsd", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("mpl-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("isc", "SPDX-License-Identifier: ISC"),
+    ("bsl-1.0", "SPDX-License-Identifier: BSL-1.0"),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0"),
+    ("bsl-1.0", "Boost Software License - Version 1.0"),
+    ("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("wtfpl", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document"),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
 
@@ -92,16 +112,36 @@ def standard() -> Templates:
     return Templates(TEMPLATES, PHRASES)
 
 
-def common(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
+def common(a: list[int], b: list[int]) -> tuple[int, int, int]:
+    """Length of the longest common subsequence of a and b, and the shortest range [start, end) of b that holds one, the
+    first of equals."""
+    row = [(0, j + 1) for j in range(-1, len(b))]  # at j: the length, and the latest start of such a subsequence before j
     for x in a:
-        last = 0
+        new = [row[0]]
         for j, y in enumerate(b):
-            keep = row[j + 1]
-            row[j + 1] = last + 1 if x == y else max(keep, row[j])
-            last = keep
-    return row[-1]
+            best = max(row[j + 1], new[j])
+            if x == y:
+                n, start = row[j]
+                best = max(best, (n + 1, start if n else j))
+            new.append(best)
+        row = new
+    n = row[-1][0]
+    ends = [(j - start, start, j) for j, (k, start) in enumerate(row) if k == n] if n else [(0, 0, 0)]
+    _, start, end = min(ends)
+    return n, start, end
+
+
+def least_votes(size: int) -> int:
+    """Grams that a notice of a template's size shares with it at least, at the least share."""
+    return max(1, int(np.ceil(size * (1 - GRAM * (1 - LEAST_SHARE)) - GRAM + 1)))
+
+
+def verified(want: list[int], ids: np.ndarray, diagonal: int) -> tuple[int, dict] | None:
+    """The span of a candidate and how many words it has in common; None if its share is too small."""
+    low, high = max(0, diagonal), min(len(ids), diagonal + WIDTH + len(want))
+    same, start, end = common(want, ids[low:high].tolist())
+    share = same / max(len(want), end - start)
+    return (same, {"start": low + start, "end": low + end, "share": share}) if share >= LEAST_SHARE else None
 
 
 def distinct_spans(found: list[tuple[int, dict]]) -> list[dict]:
@@ -118,13 +158,13 @@ def distinct_spans(found: list[tuple[int, dict]]) -> list[dict]:
 
 
 def scan_words(docs: DataFrame) -> DataFrame:
-    """A row for each document: base places, and for the method its word ids and the grams that can hit a template."""
+    """A row for each document: base places, and its word ids for the method, 0 for words of no template."""
 
     def run(batches):
         t, pid, n = standard(), TaskContext.get().partitionId(), 0
         get = t.id.get
         for b in batches:
-            out = {k: [] for k in ("uid", "n_words", "n_base", "first_word", "last_word", "base", "grams", "ids")}
+            out = {k: [] for k in ("uid", "n_words", "n_base", "first_word", "last_word", "base", "ids")}
             for text in b.column("text").to_pylist():
                 words = words_of(text)
                 ids = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
@@ -136,37 +176,46 @@ def scan_words(docs: DataFrame) -> DataFrame:
                         if len(at):
                             spots.append(at)
                             base.append(label)
-                h = t.hashes(ids)
-                at = np.flatnonzero(np.isin(h, t.known) & (h > 0)) if len(h) else h
                 every = np.concatenate(spots) if spots else ()
-                row = ((pid << 40) + n, len(words), len(every), int(min(every)) if len(every) else None, int(max(every)) if len(every) else None, sorted({*base}), [{"pos": int(p), "h": int(h[p])} for p in at], ids.astype("<i2").tobytes() if len(at) else None)
+                row = ((pid << 40) + n, len(words), len(every), int(min(every)) if len(every) else None, int(max(every)) if len(every) else None, sorted({*base}), ids.astype("<i2").tobytes())
                 for k, v in zip(out, row):
                     out[k].append(v)
                 n += 1
             yield out | {"doc_id": b.column("doc_id")}
 
-    return shared.map_texts(docs.select("doc_id", "text"), run, "uid long, doc_id long, n_words long, n_base long, first_word long, last_word long, base array<string>, grams array<struct<pos:long,h:long>>, ids binary")
+    return shared.map_texts(docs.select("doc_id", "text"), run, "uid long, doc_id long, n_words long, n_base long, first_word long, last_word long, base array<string>, ids binary")
+
+
+def rolling_grams(words: DataFrame) -> DataFrame:
+    """(uid, pos, h): every rolling gram of the documents (uid, ids)."""
+
+    def run(batches):
+        t = standard()
+        for b in batches:
+            for uid, raw in zip(b.column("uid").to_pylist(), b.column("ids").to_pylist()):
+                h = t.hashes(np.frombuffer(raw, "<i2").astype(np.int64))
+                for at in range(0, len(h), 1 << 16):
+                    some = h[at : at + (1 << 16)]
+                    yield pa.record_batch([pa.array(np.full(len(some), uid)), pa.array(np.arange(at, at + len(some))), pa.array(some)], names=["uid", "pos", "h"])
+
+    return words.select("uid", "ids").mapInArrow(run, "uid long, pos long, h long")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text) with their base places, labels, verified spans and score."""
     spark, t = docs.sparkSession, standard()
     words = shared.stored(scan_words(docs), "words")
-    places = F.broadcast(spark.createDataFrame([(i, k, h, max(1, int(np.ceil(len(t.ids[i]) * (1 - GRAM * (1 - LEAST_SHARE)) - GRAM + 1))), len(t.ids[i])) for i, k, h in t.grams], "template int, at int, h long, least int, size int"))
-    hits = words.where("size(grams) > 0").select("uid", F.explode("grams").alias("g")).select("uid", "g.pos", "g.h").join(places, "h")
-    diagonals = hits.groupBy("uid", "template", "least", "size", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"))
-    of = W.partitionBy("uid", "template").orderBy("diagonal")  # one document's hits on one template
-    apart = F.when(F.col("diagonal") - F.lag("diagonal").over(of) <= DIAGONAL_GAP, 0).otherwise(1)
+    places = F.broadcast(spark.createDataFrame([(i, k, h, least_votes(len(t.ids[i]))) for i, k, h in t.grams], "template int, at int, h long, least int"))
+    hits = rolling_grams(words).join(places, "h")
+    diagonals = hits.groupBy("uid", "template", "least", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"))
+    near = W.partitionBy("uid", "template").orderBy("diagonal").rangeBetween(0, WIDTH)  # one document's hits on one template
     merged = (
-        diagonals.withColumn("apart", apart)
-        .withColumn("band", F.sum("apart").over(of))
-        .groupBy("uid", "template", "least", "band")
-        .agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("start"), F.max(F.col("diagonal") + F.col("size")).alias("end"))
-        .where("votes >= least")
+        diagonals.withColumn("all", F.sum("votes").over(near))
+        .where("all >= least")
         .groupBy("uid")
-        .agg(F.collect_list(F.struct("template", "start", "end")).alias("bands"))  # one document's candidates
+        .agg(F.collect_list(F.struct("template", "diagonal")).alias("bands"))  # one document's candidates
     )
-    both = words.drop("grams").join(merged, "uid", "left")
+    both = words.join(merged, "uid", "left")
 
     def verify(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("share", pa.float64())])))])
@@ -176,11 +225,8 @@ def scan(docs: DataFrame) -> DataFrame:
             for base, bands, raw in zip(b.column("base").to_pylist(), b.column("bands").to_pylist(), b.column("ids").to_pylist()):
                 ids, found = np.frombuffer(raw or b"", "<i2"), []
                 for c in bands or ():
-                    want = t.ids[c["template"]].tolist()
-                    start, end = max(0, c["start"]), min(len(ids), c["end"])
-                    same = common(want, ids[start:end].tolist())
-                    if same >= LEAST_SHARE * len(want):
-                        found.append((same, {"label": t.labels[c["template"]], "start": start, "end": end, "share": same / len(want)}))
+                    if got := verified(t.ids[c["template"]].tolist(), ids, c["diagonal"]):
+                        found.append((got[0], {"label": t.labels[c["template"]]} | got[1]))
                 found = distinct_spans(found)
                 labels.append(",".join(sorted({*base, *(x["label"] for x in found)})))
                 scores.append(1.0 if base else max((x["share"] for x in found), default=0.0))

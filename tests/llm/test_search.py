@@ -73,6 +73,11 @@ def test_licences(spark, odd_docs, no_docs):
         7: ("all rights were reserved", "", ""),
         8: (None, "", ""),
         9: ("cc by " * 3000, "cc-by", "cc-by"),
+        10: ("licensed under the apache treaty, a license of version 2.0", "", ""),
+        11: ("we were licensed under the old rules. the apache license of the tribe, version 2 0 of events", "", ""),
+        12: ("// SPDX-License-Identifier: Apache-2.0", "", "apache-2.0"),
+        13: ("This project is MIT licensed.", "", "mit"),
+        14: (f"{filler}Distributed under the Boost Software License, Version 1.0.", "", "bsl-1.0"),
     }
     df = spark.createDataFrame([(k, v[0], 1) for k, v in cases.items()], "doc_id long, text string, uid int")
     got = {r["doc_id"]: r for r in licences.scan(df).collect()}
@@ -92,6 +97,66 @@ def test_licence_places_against_brute_force(spark, sf_dir, plain_documents):
     assert {r["doc_id"]: (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in rows} == want
 
 
+def plain_labels(text):
+    """Labels and the largest share, by plain loops over grams, diagonals and all subsequences' spans."""
+    t = licences.standard()
+    ids = [t.id.get(w.encode(), 0) for w in words(text)]
+    found = []
+    for k, label in enumerate(t.labels):
+        want = t.ids[k].tolist()
+        votes = {}
+        for i in range(len(ids) - 2):
+            for j in range(len(want) - 2):
+                if ids[i : i + 3] == want[j : j + 3]:
+                    votes[i - j] = votes.get(i - j, 0) + 1
+        for d in votes:
+            if sum(n for e, n in votes.items() if 0 <= e - d <= licences.WIDTH) < licences.least_votes(len(want)):
+                continue
+            low, high = max(0, d), min(len(ids), d + licences.WIDTH + len(want))
+            best = None
+            for a in range(low, high):
+                for z in range(a + 1, high + 1):
+                    n = [[0] * (z - a + 1) for _ in range(len(want) + 1)]
+                    for p, x in enumerate(want):
+                        for q, y in enumerate(ids[a:z]):
+                            n[p + 1][q + 1] = n[p][q] + 1 if x == y else max(n[p][q + 1], n[p + 1][q])
+                    one = (-n[-1][-1], z - a, a)
+                    best = one if best is None else min(best, one)
+            share = -best[0] / max(len(want), best[1])
+            if share >= licences.LEAST_SHARE:
+                found.append((best[0], -share, best[2], label, best[2] + best[1]))
+    kept = []
+    for same, share, start, label, end in sorted(found):
+        if all(end <= a or start >= z for a, z, *_ in kept):
+            kept.append((start, end, label, -share))
+    return sorted({x[2] for x in kept}), max((x[3] for x in kept), default=0.0)
+
+
+def test_labels_against_brute_force(spark):
+    """Notices whole, with words put in, left out and changed, one after another and cut short, among filler."""
+    rng = random.Random(6)
+    filler = ["lorem", "the", "license", "of", "software", "under", "ipsum"]
+    rows = []
+    for i in range(60):
+        _, notice = rng.choice([x for x in licences.TEMPLATES if len(words(x[1])) < 13])
+        w = notice.split()
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(2)] = [rng.choice(filler)] if rng.random() < 0.6 else []
+            w = w or ["x"]
+        w = [rng.choice(filler) for _ in range(rng.randrange(6))] + w + [rng.choice(filler) for _ in range(rng.randrange(6))]
+        if i % 7 == 0:
+            w += rng.choice(licences.TEMPLATES[:4])[1].split()[:9]
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in licences.scan(df).collect():
+        text = rows[r["doc_id"]][1]
+        labels, share = plain_labels(text)
+        base = [x for x in r["base_labels"].split(",") if x]
+        assert r["labels"] == ",".join(sorted({*labels, *base})), text
+        assert abs(r["score"] - (1.0 if base else share)) < 1e-9, text
+
+
 def vector_rows(seed=0):
     rng = np.random.default_rng(seed)
     rows = []
