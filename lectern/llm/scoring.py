@@ -8,8 +8,13 @@ additive over the context, so the normaliser of all contexts is one matrix produ
 log-probability of a token is then exact and normalised. A word of a shared class takes its smoothed share of that
 class, so that the probabilities of all words, unseen ones together counted as one, sum to one.
 
-Counts of the `HOT` most frequent words are broadcast, a bounded table. Other words are counted in each document and
-joined with the corpus counts; none of them is a hot key.
+Counts of the `HOT` most frequent words are broadcast, a bounded table; of words that are equally frequent where it ends
+a part goes in, by hash. Words of more than `LONGEST` bytes stand under a 128-bit hash, so that a long one may be frequent
+as well. Other words are counted in each document and joined with the corpus counts; none of them is a hot key.
+
+The number of classes is a fixed bound of the model, `VOCAB` and `TAILS`, like its dimensions; the counts that part the
+words of a class grow with the corpus. The pilot is the `PILOT_DOCS` texts or so of the smallest hashes. Weights are
+averages over partitions, so scores change a little when the rows are dealt to other partitions; base_score does not.
 
 Results in special cases. Null and empty texts are the end alone. Rows that repeat a doc_id are scored, and learned
 from, each for itself; a null doc_id counts as the empty text in the fold. With no training documents the base is the
@@ -24,6 +29,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +38,8 @@ from lectern.llm import shared
 
 HELD_OUT = 1
 VOCAB, TAILS, HOT, DIM, NOISE = 1000, 256, 100_000, 24, 48
-#: Words longer than this many bytes are never in the broadcast table.
-LONGEST_HOT = 64
+#: Longer words, in bytes, stand under a hash. Parts of a count step that is too large for the broadcast table.
+LONGEST, PARTS = 64, 1024
 PILOT_DOCS = 2000
 #: Distinct words a task counts before it hands them on, and tokens it trains on at a time.
 COUNT_AT_ONCE, TRAIN_AT_ONCE = 100_000, 1 << 20
@@ -42,7 +48,10 @@ CLASSES = END + 1
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()  # ASCII case and white space only
+    words = (text or "").encode().lower().split()  # ASCII case and white space only
+    if words and max(map(len, words)) > LONGEST:
+        words = [w if len(w) <= LONGEST else b"\0" + xxhash.xxh3_128_digest(w) for w in words]
+    return words
 
 
 def tail_class(word: bytes) -> int:
@@ -70,19 +79,25 @@ def count_words(texts: DataFrame) -> DataFrame:
     return shared.map_texts(texts, run, "word binary, tail int, c long").groupBy("word", "tail").agg(F.sum("c").alias("c"))
 
 
-def frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
-    """At most HOT words, the most frequent first. Steps of the logarithm of the count, some thousand at most, tell
-    how far down the table may go; only the words above that line leave the executors."""
-    step = F.floor(F.log2("c") * 64).alias("step")
-    words = counts.where(F.length("word") <= LONGEST_HOT).select("word", "c", step)
-    least, total = None, 0
+def frequent(counts: DataFrame, most: int = HOT) -> list[tuple[bytes, int]]:
+    """At most `most` words, the most frequent first. Steps of the logarithm of the count, some thousand at most, tell
+    how far down the table may go; of the first step that does not fit, parts by a hash are taken while they fit. Only the
+    words above that line leave the executors."""
+    words = counts.select("word", "c", F.floor(F.log2("c") * 64).alias("step"), F.pmod(F.xxhash64("word"), F.lit(PARTS)).alias("part"))
+    least, total, parts = None, 0, 0
     for r in sorted(words.groupBy("step").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
-        if total + r["n"] > HOT:
+        least = r["step"]
+        if total + r["n"] > most:
+            for p in sorted(words.where(F.col("step") == least).groupBy("part").agg(F.count("*").alias("n")).collect(), key=lambda p: p["part"]):
+                if total + p["n"] > most:
+                    break
+                total, parts = total + p["n"], p["part"] + 1
             break
-        least, total = r["step"], total + r["n"]
+        total, parts = total + r["n"], PARTS
     if least is None:
         return []
-    return sorted(((bytes(r["word"]), r["c"]) for r in words.where(F.col("step") >= least).collect()), key=lambda x: (-x[1], x[0]))
+    some = words.where((F.col("step") > least) | (F.col("step") == least) & (F.col("part") < parts))
+    return sorted(((bytes(r["word"]), r["c"]) for r in some.collect()), key=lambda x: (-x[1], x[0]))
 
 
 class Lexicon:
@@ -217,7 +232,7 @@ def train_model(texts: DataFrame, lexicon, noise: np.ndarray) -> dict[str, np.nd
 
     hashed = texts.where(F.col("text").isNotNull()).select("text", F.xxhash64("text", F.lit(5)).alias("h"))
     rows = texts.count()
-    pilot = hashed.where(F.pmod("h", F.lit(max(1, rows // PILOT_DOCS))) == 0).select("text").limit(2 * PILOT_DOCS).coalesce(1)
+    pilot = hashed.where(F.pmod("h", F.lit(max(1, rows // PILOT_DOCS))) == 0).orderBy("h").limit(2 * PILOT_DOCS).select("text").coalesce(1)
     got = shared.map_texts(pilot, learn(None, 3), "n long, model binary").collect()  # one model
     first = bytes(got[0]["model"]) if got else blob(start_model(noise))
     models = shared.stored(shared.map_texts(texts, learn(first, 1), "n long, model binary"), "models")
@@ -236,14 +251,13 @@ def tables(model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return near.astype(np.float32), far.astype(np.float32), model["b"], norm.astype(np.float32)
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for documents (doc_id, text)."""
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", (shared.id_hash(F.col("doc_id")) % 5 == HELD_OUT).alias("held_out"), "text")
-    teach = rows.where("NOT held_out").select("text")
+def fit(teach: DataFrame) -> dict:
+    """What scoring needs, learnt from all rows of teach (text): the corpus counts as a table, the frequent words, the
+    shared classes' sizes, the totals and the model's tables."""
+    spark = teach.sparkSession
     counts = shared.stored(count_words(teach), "counts")
     hot = frequent(counts)
-    lexicon = spark.sparkContext.broadcast(Lexicon(hot))
+    lexicon = Lexicon(hot)
     n_docs = teach.count()
     tails = np.zeros((CLASSES, 2))  # of each shared class, tokens and distinct words in training
     for r in counts.groupBy("tail").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():  # at most TAILS rows
@@ -256,7 +270,20 @@ def score_documents(docs: DataFrame) -> DataFrame:
     noise[: len(hot[:VOCAB])] = [c for _, c in hot[:VOCAB]]
     noise[END] = n_docs
     noise = (noise + 0.5) / (noise + 0.5).sum()
-    ready = spark.sparkContext.broadcast(tables(train_model(teach, lexicon, noise)))
+    held = spark.sparkContext.broadcast(lexicon)
+    return {"counts": counts, "lexicon": held, "tables": tables(train_model(teach, held, noise)), "share": share, "n": n, "v": v, "n_docs": n_docs}
+
+
+def score_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for documents (doc_id, text)."""
+    rows = docs.select("doc_id", (shared.id_hash(F.col("doc_id")) % 5 == HELD_OUT).alias("held_out"), "text")
+    return score_with(fit(rows.where("NOT held_out").select("text")), rows)
+
+
+def score_with(fitted: dict, rows: DataFrame) -> DataFrame:
+    """score_documents for rows (doc_id, held_out, text) by what fit() has learnt."""
+    counts, lexicon, share, n, v, n_docs = (fitted[k] for k in ("counts", "lexicon", "share", "n", "v", "n_docs"))
+    ready = rows.sparkSession.sparkContext.broadcast(fitted["tables"])
     base_of, end_log = float(np.log10(n + 0.5 * (v + 1))), float(np.log10(n_docs + 0.5))
 
     def score(batches):
@@ -288,7 +315,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     rare = scored.select("uid", F.explode("tail").alias("t")).select("uid", "t.word", "t.tf")
     c = F.coalesce("c", F.lit(0))
     added = (
-        rare.join(counts.select("word", "c"), "word", "left")
+        rare.join(counts.select("word", "c").hint("merge"), "word", "left")
         .groupBy("uid")
         .agg(F.sum(F.col("tf") * F.log10(c + 0.5)).alias("add"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more"))
     )

@@ -156,3 +156,49 @@ def test_a_large_group_of_copies_teaches_once(spark, documents):
     held = {r["doc_id"]: r["lang_pred"] for r in language.identify(many, sample=400).where("held_out AND doc_id < 1000000").collect()}
     true = {r["doc_id"]: r["lang"] for r in documents.collect()}
     assert sum(held[d] == true[d] for d in held) >= 0.95 * len(held)
+
+
+def test_scores_word_by_word(spark, documents):
+    """The score of some documents from the model's tables: each token's class given the two classes before it, and for a
+    word of a shared class its smoothed share of that class."""
+    from pyspark.sql import functions as F
+
+    from lectern.llm import shared
+
+    rows = documents.select("doc_id", (shared.id_hash(F.col("doc_id")) % 5 == scoring.HELD_OUT).alias("held_out"), "text")
+    fitted = scoring.fit(rows.where("NOT held_out").select("text"))
+    got = {r["doc_id"]: r for r in scoring.score_with(fitted, rows).collect()}
+    near, far, bias, _ = (np.asarray(x, float) for x in fitted["tables"])
+    lex, counts = fitted["lexicon"].value, {bytes(r["word"]): r["c"] for r in fitted["counts"].collect()}
+    tails = Counter()
+    for w, c in counts.items():
+        if lex.at.get(w, scoring.VOCAB) >= scoring.VOCAB:
+            tails[scoring.tail_class(w)] += c
+    distinct = Counter(scoring.tail_class(w) for w in counts if lex.at.get(w, scoring.VOCAB) >= scoring.VOCAB)
+    for r in documents.orderBy("doc_id").limit(12).collect():
+        words = scoring.words_of(r["text"])[:400]
+        if len(words) != len(scoring.words_of(r["text"])):
+            continue
+        u = v = scoring.END
+        total = 0.0
+        for w in [*words, None]:
+            k = scoring.END if w is None else lex.at[w] if lex.at.get(w, scoring.VOCAB) < scoring.VOCAB else scoring.tail_class(w)
+            logits = near[v] + far[u] + bias
+            top = logits.max()
+            total += (logits[k] - top - math.log(np.exp(logits - top).sum())) / math.log(10)
+            if w is not None and k >= scoring.VOCAB:
+                total += math.log10(counts.get(w, 0) + 0.5) - math.log10(tails[k] + 0.5 * (distinct[k] + 1))
+            u, v = v, k
+        assert abs(total - got[r["doc_id"]]["score"]) < 1e-3 * max(1, len(words))
+
+
+def test_frequent_words_of_equal_counts_and_long_words(spark):
+    """A step of equal counts that is too large is taken in part; a word of thousands of bytes may be frequent."""
+    long_word = "x" * 5000
+    df = spark.createDataFrame([(f"w{i} {long_word}",) for i in range(3000)], "text string")
+    counts = scoring.count_words(df)
+    hot = scoring.frequent(counts, 500)
+    assert 300 < len(hot) <= 500 and hot[0][1] == 3000 and len(hot[0][0]) == 17
+    docs = spark.createDataFrame([(i, f"{long_word} a{i}") for i in range(50)], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in scoring.score_documents(docs).collect())
+    assert got == plain_base([(i, f"{long_word} a{i}") for i in range(50)])
