@@ -6,6 +6,7 @@ import json
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +40,35 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark)}/lectern-{tag}-{uuid.uuid4().hex}"
+#: The lists of paths of the open `discarded` blocks, the innermost last.
+_open: list[list[str]] = []
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder."""
+    path = f"{shared_root(spark)}/lectern-{tag}-{uuid.uuid4().hex}"
+    for paths in _open[-1:]:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def discarded(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables and files made in the block go at its end, also after a failure. What is to outlive the block must have
+    been written outside its paths by then, as a frame that still reads them could not."""
+    paths: list[str] = []
+    _open.append(paths)
+    try:
+        yield paths
+    finally:
+        _open[:] = [p for p in _open if p is not paths]
+        for path in paths:
+            remove(spark, path)
+
+
+def stored(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """Write a table in the shared folder and reread it. This cuts the lineage: a lost executor costs only tasks."""
-    path = scratch(df.sparkSession, tag)
+    path = path or scratch(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,4 +1,5 @@
 import hashlib
+import os
 
 import corpus_pipeline
 from test_dedup import plain_line_dedup
@@ -50,6 +51,29 @@ def test_stages_of_odd_and_empty_tables(spark, sf_dir, odd_docs, no_docs):
         assert (docs.count() > 0) == (table is odd_docs)
 
 
+def test_run_leaves_one_table(spark, sf_dir, odd_docs, tmp_path):
+    """All that the stages wrote on their way is gone, and the result can still be read."""
+    odd_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    root = shared.shared_root(spark).removeprefix("file:").replace("//", "/")
+    before = set(os.listdir(root))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert len(set(os.listdir(root)) - before) == 1 and out.count() > 0
+
+
+def test_discarded_after_a_failure(spark):
+    root = shared.shared_root(spark).removeprefix("file:").replace("//", "/")
+    before = set(os.listdir(root))
+    kept = shared.stored(spark.range(3), "kept")
+    try:
+        with shared.discarded(spark):
+            shared.stored(spark.range(3), "gone")
+            raise ValueError
+    except ValueError:
+        pass
+    assert len(set(os.listdir(root)) - before) == 1 and kept.count() == 3
+
+
 def test_foreign_texts_go(spark, documents):
     """A text in none of the learned languages goes, and so do texts without letters; without labels all others stay."""
     odd = spark.createDataFrame([(-1, "этот текст написан не на том языке который здесь учат " * 5), (-2, "日本語の文章はここで学んだ言語ではありません。" * 5), (-3, "1234 !!"), (-4, None)], "doc_id long, text string")
