@@ -8,6 +8,14 @@ sets of similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS, which
 is a candidate with one class of that key, chosen by a hash anew for each key: rows stay in proportion to the classes,
 and a group of thousands of near copies never becomes its pairs. Every candidate is verified on the whole sets.
 
+What these miss, by chance or since the chosen class of a key is unlike the others, an exact way finds. Shingles have
+one order, rare ones first, and a set's prefix is its first shingles in that order: of sets of n and m >= n shingles
+that are alike, the first shingle in common is among the first n - ceil(2sn / (1 + s)) + 1 of the smaller one and the
+first m - ceil(sm) + 1 of the larger. Only sets that the verified links leave in different components are compared, so a
+group of near copies does not become its pairs here either; sizes and places in the prefix rule out most of the rest.
+The order may be any, for the result; counts of a bounded sample of the sets give one that keeps common passages out of
+the prefixes.
+
 The sets of candidates are written as flat files in the shared folder, which the verifying tasks map.
 
 Null, empty and blank texts are one class, as for operator 7; a text of fewer words than a shingle is one shingle.
@@ -22,12 +30,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lectern.llm import shared
+from lectern.llm.components import components
 
 BANDS, ROWS = 40, 6
 #: Shingles put through the minimum hashes at a time, words whose hashes are kept, files kept open.
 BLOCK, KEEP_WORDS, OPEN_FILES = 1024, 200_000, 256
+#: Sets that are counted to order the shingles; the links do not depend on it.
+COUNTED = 20_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _TURNS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -150,12 +162,75 @@ def candidates(classes: DataFrame, near_bits) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def counted(docs: DataFrame, classes: DataFrame, words: int) -> str | None:
+    """The file of the shingles found twice or more in some COUNTED of the classes, sorted, and their counts."""
+    some = classes.select("doc_id").where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, classes.count()))) < COUNTED).distinct()
+    path = f"{shared.scratch(docs.sparkSession, 'counted')}/shingles"
+
+    def run(batches):
+        for b in batches:
+            yield {"shingle": np.concatenate([shingle_set(t, words) for t in b.column("text").to_pylist()]).view("<i8")}
+
+    def write(batches):
+        found = [(b.column("shingle").to_numpy().view("<u8"), b.column("n").to_numpy()) for b in batches]
+        if found:
+            shingle, n = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(shingle)
+            shared.write_arrays(path, {"shingle": shingle[order], "n": n[order]})
+            yield pa.record_batch([pa.array([len(n)], pa.int64())], names=["n"])
+
+    texts = docs.join(F.broadcast(some), "doc_id", "left_semi").select("text")
+    often = shared.map_texts(texts, run, "shingle long").repartition("shingle").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    return path if often.repartition(1).mapInArrow(write, "n long").collect() else None
+
+
+def prefixes(docs: DataFrame, words: int, alike: tuple[int, int], order: str | None) -> DataFrame:
+    """doc_id, fp, n, prefix for documents (doc_id, text): the set's size and its first shingles, rare ones first."""
+
+    def run(batches):
+        often = shared.read_arrays(order) if order else {"shingle": np.zeros(1, "<u8"), "n": np.zeros(1, "<i8")}
+
+        def first(s: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(often["shingle"], s), len(often["shingle"]) - 1)
+            n = np.where(often["shingle"][at] == s, often["n"][at], 0)
+            return s[np.argsort(n, kind="stable")[: len(s) + 1 + -alike[0] * len(s) // alike[1]]].view("<i8")
+
+        for b in batches:
+            sets = [shingle_set(t, words) for t in b.column("text").to_pylist()]
+            yield {"doc_id": b.column("doc_id"), "fp": [signature(s) for s in sets], "n": [len(s) for s in sets], "prefix": [first(s) for s in sets]}
+
+    return shared.map_texts(docs.select("doc_id", "text"), run, "doc_id long, fp long, n long, prefix array<long>")
+
+
+def missed(docs: DataFrame, classes: DataFrame, roots: DataFrame, words: int, alike: tuple[int, int]) -> DataFrame:
+    """(a, b): all pairs of classes in different components, by roots (node, root), that may be alike."""
+    p, q = alike
+    members = classes.select("doc_id", "fp").join(roots, classes["fp"] == roots["node"], "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
+    found = prefixes(docs, words, alike, counted(docs, classes, words)).join(members.hint("merge"), ["doc_id", "fp"])
+    rows = shared.stored(found.drop("doc_id"), "prefixes").select("fp", "root", "n", F.posexplode("prefix").alias("at", "shingle"))
+    # one exchange and small sorts: grouping before it would hold all of a task's shingles, nearly all of them different
+    same = W.partitionBy("shingle")
+    met = shared.stored(rows.withColumns({"low": F.min("root").over(same), "high": F.max("root").over(same)}).where("low <> high").drop("low", "high"), "met")
+    small = met.where(f"at <= n - (2 * {p} * n + {p + q - 1}) div {p + q}").select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("fp", "root", "n", "at")])
+    large = met.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("fp", "root", "n", "at")])
+    may = f"(n_a < n_b OR n_a = n_b AND fp_a < fp_b) AND n_a * {q} >= n_b * {p} AND least(n_a - at_a, n_b - at_b) * {p + q} >= {p} * (n_a + n_b)"
+    return small.join(large.hint("merge"), "shingle").where("root_a <> root_b").where(may).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
+
+
 def links(docs: DataFrame, found: DataFrame, words: int, alike: tuple[int, int], near_bits) -> DataFrame:
-    """(a, b): candidates among the classes fp of keyed() that are alike. near_bits gives pairs of near fingerprints."""
+    """(a, b): links among the classes fp of keyed() that are alike, such that those connect which all links of alike
+    classes connect. near_bits gives pairs of near fingerprints."""
     numbered = found.where("doc_id IS NOT NULL")
     reps = numbered.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     classes = shared.stored(found.join(reps, ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id", "fp"]), "shingled")
-    pairs = shared.stored(candidates(classes, near_bits), "pairs")
+    roots = shared.stored(components(verified(docs, classes, shared.stored(candidates(classes, near_bits), "pairs"), words, alike)), "roots")
+    linked = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    pairs = shared.stored(missed(docs, classes, roots, words, alike), "missed")
+    return linked if pairs.isEmpty() else linked.unionByName(verified(docs, classes, pairs, words, alike))
+
+
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, alike: tuple[int, int]) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose whole sets are alike."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     wanted = classes.join(ends, "fp", "left_semi").select("doc_id").distinct()
     places = shared.stored(written(docs.join(wanted, "doc_id", "left_semi"), words), "places")
