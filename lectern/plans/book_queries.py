@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import paths
 from lectern.operators import lookups, ordering, progress, statistics, timelines
-from lectern.plans.text_queries import read, scratch
+from lectern.plans.text_queries import read, scratch, stored
 from lectern.sources import audio, catalogues, chapters, markup, sinks
 
 QUERIES: dict = {}
@@ -309,9 +309,10 @@ def library_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of a library's items by title."""
     from pyspark.sql import Window as W
 
-    c = read(spark, sf_dir, "customer")
-    bounds = c.select("c_name", "c_custkey", "c_mktsegment", "c_acctbal").repartitionByRange("c_name", "c_custkey").withColumn("pid", F.spark_partition_id())
-    n = bounds.withColumn("i", F.row_number().over(W.partitionBy("pid").orderBy("c_name", "c_custkey")))
+    c, order = read(spark, sf_dir, "customer"), [F.col("c_name").asc_nulls_last(), F.col("c_custkey").asc_nulls_last()]
+    bounds = c.select("c_name", "c_custkey", "c_mktsegment", "c_acctbal").repartitionByRange(*order).withColumn("pid", F.spark_partition_id())
+    # written once: the bounds of ranges are sampled anew, and differ, each time that a plan deals rows to them
+    n = stored(bounds.withColumn("i", F.row_number().over(W.partitionBy("pid").orderBy(*order))), "library")
     sizes = n.groupBy("pid").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(W.orderBy("pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     n = n.join(sizes.select("pid", "base"), "pid").withColumn("at", F.col("base") + F.col("i") - 1)
     item = F.to_json(F.struct(F.col("c_custkey").cast("string").alias("id"), F.struct(F.struct(F.col("c_name").alias("title"), F.col("c_mktsegment").alias("authorName")).alias("metadata"), F.col("c_acctbal").alias("duration")).alias("media")))
