@@ -5,8 +5,13 @@ and windows run within (key, bucket): a key with most of the rows is spread over
 
 from __future__ import annotations
 
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 
@@ -71,6 +76,55 @@ def words_in_sentences(words: DataFrame, sentences: DataFrame, doc: str = "doc_i
     return within(words, s, [doc], "start_pos", "__s", "__e", ["sentence_index"], width=width, point_end="end_pos").drop("__s", "__e")
 
 
+def text_words_in_sentences(docs: DataFrame, doc: str = "doc_id", words: int = 1 << 17) -> DataFrame:
+    """The words of each text and the index, from 1, of the span that holds each, NULL if none does.
+
+    docs: doc, text, spans (array<struct<start_pos, end_pos>> in order, none overlapping, 0 where a sentence is not
+    found). Words part at spaces and line ends. A row needs nothing but its own text, so no word is exchanged: the words
+    of a corpus are many times its bytes. A row without an id has no sentences, rows that repeat count each for itself.
+    `words` bounds what a task holds besides one text."""
+    kinds = [(doc, docs.schema[doc].dataType), ("word_index", T.IntegerType()), ("word", T.StringType()), ("end_pos", T.LongType()), ("start_pos", T.LongType()), ("sentence_index", T.IntegerType())]
+
+    def of_text(t: str, spans: list[dict]) -> tuple:
+        tokens = t.replace("\n", " ").split(" ")
+        n = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        end = np.cumsum(n + 1) - 1
+        i = np.flatnonzero(n)
+        end, start = end[i], (end - n + 1)[i]
+        place = np.array([(s["start_pos"], s["end_pos"], k) for k, s in enumerate(spans, 1) if s["start_pos"]], np.int64).reshape(-1, 3)
+        at = np.searchsorted(place[:, 0], start, "right") - 1
+        held = at >= 0
+        held[held] = end[held] <= place[at[held], 1]
+        index = np.zeros(len(i), np.int32)
+        index[held] = place[at[held], 2]
+        return [x for x in tokens if x], i.astype(np.int32), end, start, index
+
+    def run(batches):
+        def flush():
+            word, i, end, start, index = zip(*found)
+            index = np.concatenate(index)
+            ids = pa.array(keys, key_type).take(pa.array(np.repeat(np.arange(len(keys)), [len(x) for x in i])))
+            columns = [ids, pa.array(np.concatenate(i)), pa.array(chain.from_iterable(word), pa.string()), pa.array(np.concatenate(end)), pa.array(np.concatenate(start)), pa.array(index, mask=index == 0)]
+            return pa.record_batch(columns, names=[k for k, _ in kinds])
+
+        for b in batches:
+            key_type, keys, found, n = b.column(doc).type, [], [], 0
+            for at in range(b.num_rows):
+                key, t, spans = (b.column(c)[at].as_py() for c in (doc, "text", "spans"))
+                if t is None:
+                    continue
+                keys.append(key)
+                found.append(of_text(t, spans if key is not None and spans else []))
+                n += len(found[-1][0])
+                if n >= words:
+                    yield flush()
+                    keys, found, n = [], [], 0
+            if found:
+                yield flush()
+
+    return docs.select(doc, "text", "spans").mapInArrow(run, T.StructType([T.StructField(*k) for k in kinds]))
+
+
 def at_position(points: DataFrame, spans: DataFrame, doc: str, pos: str, width: int = 4096) -> DataFrame:
     """The first span (index, start_pos, end_pos) that holds a position, ends included."""
     return within(points, spans, [doc], pos, "start_pos", "end_pos", ["index"], width=width, closed=True)

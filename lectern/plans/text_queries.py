@@ -336,13 +336,8 @@ SELECT wz.doc_id, i::INT AS word_index, word, wz.end_pos, wz.start_pos, min(idx)
 def words_to_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each word of a document with the sentence whose positions hold it."""
     docs = read(spark, sf_dir, "documents").select("doc_id", text.normalize(F.col("text")).alias("text"))
-    tokens = F.split(F.translate(F.col("text"), "\n", " "), " ")  # one space or line end stands between tokens
-    w = docs.select("doc_id", F.posexplode(tokens).alias("word_index", "word"))
-    upto = W.partitionBy("doc_id").orderBy("word_index").rowsBetween(W.unboundedPreceding, 0)
-    w = w.withColumn("end_pos", F.sum(F.length("word") + 1).over(upto) - 1).withColumn("start_pos", F.col("end_pos") - F.length("word") + 1).where("word <> ''")
     parts = F.transform(text.sentences(F.col("text")), lambda x: x["text"])
-    s = docs.select("doc_id", F.posexplode(text.locate_all(F.col("text"), parts)).alias("i", "p")).select("doc_id", (F.col("i") + 1).alias("sentence_index"), "p.start_pos", "p.end_pos")
-    return lookups.words_in_sentences(w, s)
+    return lookups.text_words_in_sentences(docs.withColumn("spans", text.locate_all(F.col("text"), parts)))
 
 
 @query(rf"""WITH {sql_normal('text', 'documents', 'doc_id')}, {sql_sentences('doc_id')},

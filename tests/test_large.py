@@ -11,3 +11,16 @@ def test_library_scan_of_many_customers(spark, tmp_path):
     rows.coalesce(1).write.parquet(f"{tmp_path}/made")
     next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "customer.parquet")
     assert spark_rows(plans.QUERIES["library_scan"](spark, str(tmp_path))) == duck_rows(connect(tmp_path), plans.ORACLES["library_scan"])
+
+
+def test_words_to_sentences_exchanges_no_words(spark, sf_dir):
+    plan = plans.QUERIES["words_to_sentences"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_words_to_sentences_of_odd_texts(spark, tmp_path):
+    texts = [None, "", " \n ", "One two.  Three\n\nfour? Five", "na\u00efve \U0001f600 day. Next  one!", "x" * 5000, "a. " * 3000, "No end"]
+    made = spark.createDataFrame([(i if i != 7 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    made.coalesce(1).write.parquet(f"{tmp_path}/made")
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    assert spark_rows(plans.QUERIES["words_to_sentences"](spark, str(tmp_path))) == duck_rows(connect(tmp_path), plans.ORACLES["words_to_sentences"])
